@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from weftmark.llm import mixing, ogg, secrets, tokenids
+from weftmark.llm import chunkdedup, decontam, mixing, ogg, secrets, tokenids
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -15,11 +15,19 @@ def op1_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.scan(_table(spark, sf_dir, "documents")).findings
 
 
+def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chunkdedup.repeats(_table(spark, sf_dir, "documents"))
+
+
 def op4_ogg_streams(spark: SparkSession, sf_dir: str) -> DataFrame:
     """No table holds media, so each document is first written as an Ogg file of two logical streams."""
     return ogg.streams(ogg.text_media(_table(spark, sf_dir, "documents")))
 
 
+def op6_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontam.contamination(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
 def op7_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokenids.token_ids(_table(spark, sf_dir, "documents"))
 
@@ -28,6 +36,6 @@ def op10_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.sample(_table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_secret_scan, op4_ogg_streams, op7_token_ids, op10_mix_sources)}
+QUERIES = {f.__name__: f for f in (op1_secret_scan, op2_substring_dedup, op4_ogg_streams, op6_decontaminate, op7_token_ids, op10_mix_sources)}
 
 ORACLES = {"op1_secret_scan": secrets.scan_sql(), "op4_ogg_streams": ogg.streams_sql(), "op10_mix_sources": mixing.sample_sql()}
