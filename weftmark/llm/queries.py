@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from weftmark.llm import chunkdedup, decontam, jaccard, langid, mixing, ogg, secrets, tokenids, toxicity
+from weftmark.llm import chunkdedup, decontam, jaccard, langid, mixing, ngramlm, ogg, secrets, tokenids, toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -44,6 +44,10 @@ def op7_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokenids.token_ids(_table(spark, sf_dir, "documents"))
 
 
+def op8_ngram_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngramlm.scores(_table(spark, sf_dir, "documents"))
+
+
 def op9_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.pairs(_table(spark, sf_dir, "documents"))
 
@@ -52,6 +56,6 @@ def op10_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.sample(_table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_secret_scan, op2_substring_dedup, op3_toxicity, op4_ogg_streams, op5_language_id, op6_decontaminate, op7_token_ids, op9_jaccard_join, op10_mix_sources)}
+QUERIES = {f.__name__: f for f in (op1_secret_scan, op2_substring_dedup, op3_toxicity, op4_ogg_streams, op5_language_id, op6_decontaminate, op7_token_ids, op8_ngram_scores, op9_jaccard_join, op10_mix_sources)}
 
 ORACLES = {"op1_secret_scan": secrets.scan_sql(), "op4_ogg_streams": ogg.streams_sql(), "op10_mix_sources": mixing.sample_sql()}
