@@ -19,9 +19,9 @@ HOT = 1 / 1024
 #: Weight of the next shorter context against one occurrence.
 ALPHA = 0.75
 #: Predicted words of a shard, and words that a mapper gathers before it hands on what it has.
-SHARD, GATHER = 1_500_000, 3_000_000
-#: Words that are shipped as 16-bit ranks; others as NAME, the low 48 bits of their hash, which tell words apart.
-RANKED = 65_535
+SHARD, GATHER = 750_000, 1_500_000
+#: The most frequent words are shipped as 20-bit ranks; others as NAME, the low 48 bits of their hash, which tell words apart.
+RANKED = (1 << 20) - 1
 NAME = np.uint64((1 << 48) - 1)
 
 _END = np.zeros(256, np.int32)
@@ -69,11 +69,32 @@ def _word_counts(docs: DataFrame) -> DataFrame:
 
 
 def _pack(a: np.ndarray) -> bytes:
-    return zstandard.ZstdCompressor(level=1).compress(np.ascontiguousarray(a).tobytes())
+    raw = np.ascontiguousarray(a).tobytes()
+    return b"\1" + zstandard.ZstdCompressor(level=1).compress(raw) if len(raw) >= 256 else b"\0" + raw
 
 
 def _unpack(b: bytes, kind) -> np.ndarray:
-    return np.frombuffer(zstandard.ZstdDecompressor().decompress(b), kind)
+    return np.frombuffer(zstandard.ZstdDecompressor().decompress(b[1:]) if b[0] else b[1:], kind)
+
+
+def _ranked(counts: DataFrame) -> tuple[int, int, np.ndarray, np.ndarray]:
+    """(words, distinct words, hashes and counts of at most RANKED frequent words, all of some count and more).
+
+    The least count follows from how many words have each count, in steps of 9 %;
+    so no more than RANKED words come to the driver, whatever the corpus.
+    """
+    step = F.floor(F.log("n") * 8).cast("int")
+    sizes = counts.groupBy(step.alias("step")).agg(F.sum("n").alias("n"), F.count("*").alias("words")).orderBy(F.desc("step")).collect()
+    total, distinct = sum(r.n for r in sizes), sum(r.words for r in sizes)
+    taken, least = 0, None
+    for r in sizes:
+        if taken + r.words > RANKED:
+            break
+        taken, least = taken + r.words, r.step
+    top = counts.where(step >= least if least is not None else F.lit(False)).select("word", "n").toArrow()
+    words, n = top.column(0).to_numpy().astype(np.int64).view(np.uint64), top.column(1).to_numpy().astype(np.int64)
+    order = np.lexsort((words, -n))
+    return total, distinct, words[order], n[order]
 
 
 class Base:
@@ -125,10 +146,10 @@ def _gather(ids: np.ndarray, owner: np.ndarray, hashes: np.ndarray, place: np.nd
     before = np.append(-1, latest[:-1])[:n]
     alone = before < begin  # no anchor in the context
     spot = np.minimum(np.searchsorted(ranks, hashes), max(len(ranks) - 1, 0))
-    code = np.where(ranks[spot] == hashes, rank_of[spot], RANKED).astype(np.uint16) if len(ranks) else np.full(n, RANKED, np.uint16)
+    code = np.where(ranks[spot] == hashes, rank_of[spot], RANKED).astype(np.uint32) if len(ranks) else np.full(n, RANKED, np.uint32)
     plain_bits = np.bincount(owner[alone], -np.log2(base.prob(low[alone])), len(ids)) if n else np.zeros(len(ids))
     plain_n = np.bincount(owner[alone], minlength=len(ids))
-    rows: dict[str, list] = {k: [] for k in ("shard", "docs", "size", "first", "lo", "hi", "rare", "rare_high", "plain")}
+    rows: dict[str, list] = {k: [] for k in ("shard", "docs", "size", "first", "lo", "mid", "hi", "rare", "rare_high", "plain")}
     order = np.argsort(shard, kind="stable")
     cuts = np.searchsorted(shard[order], np.arange(shards + 1))
     home = mix(ids.view(np.uint64).copy()) % np.uint64(shards)
@@ -149,7 +170,8 @@ def _gather(ids: np.ndarray, owner: np.ndarray, hashes: np.ndarray, place: np.nd
         rows["size"].append(_pack(size.astype(np.uint8)))
         rows["first"].append(_pack((a - begin[a]).astype(np.uint8)))
         rows["lo"].append(_pack((words & 255).astype(np.uint8)))
-        rows["hi"].append(_pack((words >> 8).astype(np.uint8)))
+        rows["mid"].append(_pack((words >> 8 & 255).astype(np.uint8)))
+        rows["hi"].append(_pack((words >> 16).astype(np.uint8)))
         rare = low[index[words == RANKED]]
         rows["rare"].append(_pack(rare.astype(np.uint32)))
         rows["rare_high"].append(_pack((rare >> np.uint64(32)).astype(np.uint16)))
@@ -251,15 +273,12 @@ def scores(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", sentence
     """
     rows = docs.where(F.col(doc_id).isNotNull()).select(F.col(doc_id).cast("bigint").alias("_id"), F.col(text).alias("_text"))
     counts = cut(_word_counts(rows))
-    known = counts.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("total"), F.count("*").alias("distinct")).first()
-    total, distinct = int(known.total), int(known.distinct)
-    ranked = [(r.word % (1 << 64), r.n) for r in counts.orderBy(F.desc("n"), "word").limit(RANKED).collect()]
-    base = Base([(h, n) for h, n in ranked if n >= hot * total], max(total, 1), distinct)
-    by_hash = sorted((h, i) for i, (h, _) in enumerate(ranked))
-    shared = docs.sparkSession.sparkContext.broadcast((base, np.array([h for h, _ in by_hash], np.uint64), np.array([i for _, i in by_hash], np.uint16)))
+    total, distinct, ranked, n_ranked = _ranked(counts)
+    base = Base([(h, n) for h, n in zip(ranked.tolist(), n_ranked.tolist(), strict=True) if n >= hot * total], max(total, 1), distinct)
+    by_hash = np.argsort(ranked)
+    shared = docs.sparkSession.sparkContext.broadcast((base, ranked[by_hash], by_hash.astype(np.uint32)))
     shards = max(1, -(-total // shard))
-    low_of_rank = np.array([h & int(NAME) for h, _ in ranked], np.uint64)
-    decoding = docs.sparkSession.sparkContext.broadcast(low_of_rank)
+    decoding = docs.sparkSession.sparkContext.broadcast(ranked & NAME)
 
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         base, ranks, rank_of = shared.value
@@ -293,8 +312,10 @@ def scores(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", sentence
         plain = get("plain", [("id", np.int64), ("bits", np.float64), ("n", np.int64)])
         size, first, ids = get("size", np.uint8).astype(np.int64), get("first", np.uint8).astype(np.int64), get("docs", np.int64)
         words = []
-        for r in table.select(["lo", "hi", "rare", "rare_high"]).to_pylist():
-            code = _unpack(r["lo"], np.uint8) | (_unpack(r["hi"], np.uint8).astype(np.uint16) << 8)
+        for r in table.select(["lo", "mid", "hi", "rare", "rare_high"]).to_pylist():
+            code = _unpack(r["lo"], np.uint8).astype(np.uint32)
+            code |= _unpack(r["mid"], np.uint8).astype(np.uint32) << 8
+            code |= _unpack(r["hi"], np.uint8).astype(np.uint32) << 16
             rare = code == RANKED
             w = np.empty(len(code), np.uint64)
             w[~rare] = low[code[~rare]]
@@ -310,7 +331,7 @@ def scores(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", sentence
             {"_id": every, "n": np.bincount(mine, minlength=n) + np.bincount(by_plain, plain["n"], n).astype(np.int64), "bits": total_bits, "depth": np.bincount(mine, depth, n).astype(np.int64)}
         )
 
-    shipped = rows.mapInArrow(gather, "shard int, docs binary, size binary, first binary, lo binary, hi binary, rare binary, rare_high binary, plain binary")
+    shipped = rows.mapInArrow(gather, "shard int, docs binary, size binary, first binary, lo binary, mid binary, hi binary, rare binary, rare_high binary, plain binary")
     partial = shipped.groupBy("shard").applyInArrow(score, "_id bigint, n bigint, bits double, depth bigint")
     whole = partial.groupBy("_id").agg(F.sum("n").alias("n"), F.sum("bits").alias("bits"), F.sum("depth").alias("depth"))
     some = F.col("n") > 0
