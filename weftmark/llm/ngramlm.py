@@ -10,7 +10,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from weftmark.llm.textbytes import Words, cut, mix, pieces
+from weftmark.llm.textbytes import Words, mix, pieces, written
 
 #: Words of a sentence at most; a longer one is read as several. Contexts reach to the sentence's start, however far.
 SENTENCE = 32
@@ -24,6 +24,9 @@ SHARD, GATHER = 750_000, 1_500_000
 RANKED = (1 << 20) - 1
 NAME = np.uint64((1 << 48) - 1)
 
+#: Parts of a bit in which a shard's sums are rounded, so that their sum doesn't depend on the order.
+UNIT = 1 << 16
+
 _END = np.zeros(256, np.int32)
 _END[[ord(c) for c in ".!?\n\r"]] = 1
 _K = np.uint64(0xD6E8FEB86659FD93)
@@ -97,6 +100,34 @@ def _ranked(counts: DataFrame) -> tuple[int, int, np.ndarray, np.ndarray]:
     return total, distinct, words[order], n[order]
 
 
+def _code(rank: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(a byte a rank, packed bits): ranks below 192 as they are, above by length and two leading bits, the other bits packed by length; RANKED as 255."""
+    length = np.frexp(rank.astype(np.float32))[1].astype(np.int64)
+    code = np.where(rank < 192, rank, 192 + (length - 8) * 4 + ((rank >> np.maximum(length - 3, 0)) & 3)).astype(np.uint8)
+    code[rank == RANKED] = 255
+    parts = []
+    for n in range(8, 21):
+        own = rank[(code >= 192 + (n - 8) * 4) & (code < 196 + (n - 8) * 4)]
+        if len(own):
+            parts.append(np.packbits(((own[:, None] >> np.arange(n - 3)) & 1).astype(np.uint8)))
+    return code, np.concatenate(parts) if parts else np.zeros(0, np.uint8)
+
+
+def _decode(code: np.ndarray, packed: np.ndarray) -> np.ndarray:
+    rank = code.astype(np.int64)
+    rank[code == 255] = RANKED
+    at = 0
+    for n in range(8, 21):
+        own = np.flatnonzero((code >= 192 + (n - 8) * 4) & (code < 196 + (n - 8) * 4))
+        if len(own):
+            size = -(-len(own) * (n - 3) // 8)
+            bits = np.unpackbits(packed[at : at + size], count=len(own) * (n - 3)).reshape(-1, n - 3).astype(np.int64)
+            at += size
+            head = 4 + ((code[own].astype(np.int64) - 192) & 3)
+            rank[own] = (head << (n - 3)) | (bits << np.arange(n - 3)).sum(axis=1)
+    return rank
+
+
 class Base:
     """Order 0: a hot word by its share; all others share the rest alike."""
 
@@ -149,7 +180,7 @@ def _gather(ids: np.ndarray, owner: np.ndarray, hashes: np.ndarray, place: np.nd
     code = np.where(ranks[spot] == hashes, rank_of[spot], RANKED).astype(np.uint32) if len(ranks) else np.full(n, RANKED, np.uint32)
     plain_bits = np.bincount(owner[alone], -np.log2(base.prob(low[alone])), len(ids)) if n else np.zeros(len(ids))
     plain_n = np.bincount(owner[alone], minlength=len(ids))
-    rows: dict[str, list] = {k: [] for k in ("shard", "docs", "size", "first", "lo", "mid", "hi", "rare", "rare_high", "plain")}
+    rows: dict[str, list] = {k: [] for k in ("shard", "docs", "targets", "first", "code", "bits", "rare", "rare_high", "plain")}
     order = np.argsort(shard, kind="stable")
     cuts = np.searchsorted(shard[order], np.arange(shards + 1))
     home = mix(ids.view(np.uint64).copy()) % np.uint64(shards)
@@ -167,11 +198,11 @@ def _gather(ids: np.ndarray, owner: np.ndarray, hashes: np.ndarray, place: np.nd
         words = code[index]
         rows["shard"].append(s)
         rows["docs"].append(_pack(ids[owner[a]]))
-        rows["size"].append(_pack(size.astype(np.uint8)))
+        rows["targets"].append(_pack((b - a).astype(np.uint8)))
         rows["first"].append(_pack((a - begin[a]).astype(np.uint8)))
-        rows["lo"].append(_pack((words & 255).astype(np.uint8)))
-        rows["mid"].append(_pack((words >> 8 & 255).astype(np.uint8)))
-        rows["hi"].append(_pack((words >> 16).astype(np.uint8)))
+        coded, bits = _code(words)
+        rows["code"].append(_pack(coded))
+        rows["bits"].append(_pack(bits))
         rare = low[index[words == RANKED]]
         rows["rare"].append(_pack(rare.astype(np.uint32)))
         rows["rare_high"].append(_pack((rare >> np.uint64(32)).astype(np.uint16)))
@@ -272,8 +303,8 @@ def scores(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", sentence
     rows.
     """
     rows = docs.where(F.col(doc_id).isNotNull()).select(F.col(doc_id).cast("bigint").alias("_id"), F.col(text).alias("_text"))
-    counts = cut(_word_counts(rows))
-    total, distinct, ranked, n_ranked = _ranked(counts)
+    with written(_word_counts(rows)) as counts:
+        total, distinct, ranked, n_ranked = _ranked(counts)
     base = Base([(h, n) for h, n in zip(ranked.tolist(), n_ranked.tolist(), strict=True) if n >= hot * total], max(total, 1), distinct)
     by_hash = np.argsort(ranked)
     shared = docs.sparkSession.sparkContext.broadcast((base, ranked[by_hash], by_hash.astype(np.uint32)))
@@ -310,12 +341,11 @@ def scores(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", sentence
         base, low = shared.value[0], decoding.value
         get = lambda name, kind: np.concatenate([_unpack(b, kind) for b in table.column(name).to_pylist()])
         plain = get("plain", [("id", np.int64), ("bits", np.float64), ("n", np.int64)])
-        size, first, ids = get("size", np.uint8).astype(np.int64), get("first", np.uint8).astype(np.int64), get("docs", np.int64)
+        first, ids = get("first", np.uint8).astype(np.int64), get("docs", np.int64)
+        size = first + get("targets", np.uint8) + 1
         words = []
-        for r in table.select(["lo", "mid", "hi", "rare", "rare_high"]).to_pylist():
-            code = _unpack(r["lo"], np.uint8).astype(np.uint32)
-            code |= _unpack(r["mid"], np.uint8).astype(np.uint32) << 8
-            code |= _unpack(r["hi"], np.uint8).astype(np.uint32) << 16
+        for r in table.select(["code", "bits", "rare", "rare_high"]).to_pylist():
+            code = _decode(_unpack(r["code"], np.uint8), _unpack(r["bits"], np.uint8))
             rare = code == RANKED
             w = np.empty(len(code), np.uint64)
             w[~rare] = low[code[~rare]]
@@ -326,13 +356,13 @@ def scores(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", sentence
         by_run, by_plain = where[: len(ids)], where[len(ids) :]
         n = len(every)
         mine = by_run[run]
-        total_bits = np.bincount(mine, bits, n) + np.bincount(by_plain, plain["bits"], n)
-        return pa.table(
-            {"_id": every, "n": np.bincount(mine, minlength=n) + np.bincount(by_plain, plain["n"], n).astype(np.int64), "bits": total_bits, "depth": np.bincount(mine, depth, n).astype(np.int64)}
-        )
-
-    shipped = rows.mapInArrow(gather, "shard int, docs binary, size binary, first binary, lo binary, mid binary, hi binary, rare binary, rare_high binary, plain binary")
-    partial = shipped.groupBy("shard").applyInArrow(score, "_id bigint, n bigint, bits double, depth bigint")
-    whole = partial.groupBy("_id").agg(F.sum("n").alias("n"), F.sum("bits").alias("bits"), F.sum("depth").alias("depth"))
+        tokens = np.bincount(mine, minlength=n) + np.bincount(by_plain, plain["n"], n).astype(np.int64)
+        units = np.rint((np.bincount(mine, bits, n) + np.bincount(by_plain, plain["bits"], n)) * UNIT).astype(np.int64)
+        return pa.table({"_id": every, "m": (tokens << 32) + np.bincount(mine, depth, n).astype(np.int64), "units": units})
+
+    shipped = rows.mapInArrow(gather, "shard int, docs binary, targets binary, first binary, code binary, bits binary, rare binary, rare_high binary, plain binary")
+    partial = shipped.groupBy("shard").applyInArrow(score, "_id bigint, m bigint, units bigint")
+    whole = partial.groupBy("_id").agg(F.sum("m").alias("m"), (F.sum("units") / UNIT).alias("bits"))
+    whole = whole.select("_id", F.shiftright("m", 32).alias("n"), F.col("m").bitwiseAND(F.lit((1 << 32) - 1)).alias("depth"), "bits")
     some = F.col("n") > 0
     return whole.select(F.col("_id").cast(docs.schema[doc_id].dataType).alias(doc_id), F.col("n").alias("n_tokens"), F.when(some, F.col("bits")).alias("bits"), F.when(some, F.col("bits") / F.col("n")).alias("bits_per_token"), F.when(some, F.col("depth") / F.col("n")).alias("mean_context"))

@@ -9,7 +9,9 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -155,14 +157,28 @@ def binary_column(data: np.ndarray, bounds: np.ndarray) -> pa.Array:
     ).cast(pa.binary())
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Cuts the lineage by a checkpoint in the folder that the cluster shares.
+def _shared_folder(spark: SparkSession) -> str:
+    """The folder that the cluster shares, spark.checkpoint.dir; only where that is unset (tests on one machine) one of our own."""
+    return spark.conf.get("spark.checkpoint.dir", None) or os.path.join(tempfile.gettempdir(), "weftmark-checkpoints")
 
-    The folder is spark.checkpoint.dir; only where that is unset (tests on one
-    machine) is one of our own set.
-    """
+
+@contextmanager
+def written(df: DataFrame) -> Iterator[DataFrame]:
+    """``df`` as a Parquet table in the shared folder, which goes at the end of the block."""
+    spark = df.sparkSession
+    place = f"{_shared_folder(spark)}/table-{uuid.uuid4().hex}"
+    df.write.parquet(place)
+    try:
+        yield spark.read.parquet(place)
+    finally:
+        path = spark._jvm.org.apache.hadoop.fs.Path(place)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """Cuts the lineage by a checkpoint in the folder that the cluster shares."""
     spark: SparkSession = df.sparkSession
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
-        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or os.path.join(tempfile.gettempdir(), "weftmark-checkpoints"))
+        context.setCheckpointDir(_shared_folder(spark))
     return df.checkpoint(eager=True)
