@@ -12,7 +12,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from weftmark.llm.textbytes import Words, cut, pieces
+from weftmark.llm.textbytes import Words, buffer, cut, map_rows, pieces
 
 #: A match of this many tokens is removed whatever surrounds it.
 MAX_TOKENS = 10
@@ -253,24 +253,28 @@ def decontaminate(docs: DataFrame, items: DataFrame, max_tokens: int = MAX_TOKEN
     are removed part by part, a checkpoint after each.
     """
     out = docs
+    at, size = docs.columns.index(text), docs.columns.index(length) if length in docs.columns else None
     parts = _parts(items, item_id, item_text, automaton_bytes)
     for k, (_, hashes, bounds) in enumerate(parts):
 
-        @F.pandas_udf("string")
-        def clean(texts, hashes=hashes, bounds=bounds):
-            out = [None] * len(texts)
-            column = pa.array(texts, pa.string(), from_pandas=True)
-            for r, _, removed in _find(column, hashes, bounds, max_tokens, min_tokens, coverage):
-                out[r] = _without(column[r].as_py(), removed)
-            import pandas as pd
-
-            return pd.Series(out, dtype=object)
-
-        new = out.withColumn("_clean_text", clean(F.col(text)))
-        new = new.where(F.col("_clean_text").isNull() | F.col("_clean_text").rlike(r"[\w[^\x00-\x7f]]"))
-        if length and length in docs.columns:
-            new = new.withColumn(length, F.when(F.col("_clean_text").isNotNull(), F.length("_clean_text").cast(docs.schema[length].dataType)).otherwise(F.col(length)))
-        out = new.withColumn(text, F.coalesce("_clean_text", F.col(text))).select(*docs.columns)
+        def clean(batch: pa.RecordBatch, hashes=hashes, bounds=bounds) -> pa.RecordBatch:
+            column = batch.column(at)
+            found = {r: _without(column[r].as_py(), removed) for r, _, removed in _find(column, hashes, bounds, max_tokens, min_tokens, coverage)}
+            if not found:
+                return batch
+            rows = np.array(sorted(found))
+            changed = np.zeros(batch.num_rows, bool)
+            changed[rows] = True
+            texts = pa.array([found[r] for r in rows.tolist()], column.type)
+            columns = list(batch.columns)
+            columns[at] = pc.replace_with_mask(column, pa.array(changed), texts)
+            if size is not None:
+                columns[size] = pc.replace_with_mask(columns[size], pa.array(changed), pc.utf8_length(texts).cast(columns[size].type))
+            keep = ~changed
+            keep[rows] = [len(Words(*buffer(texts.slice(i, 1))).start) > 0 for i in range(len(rows))]
+            return pa.RecordBatch.from_arrays(columns, schema=batch.schema).filter(pa.array(keep))
+
+        out = map_rows(out, clean)
         if k < len(parts) - 1:
             out = cut(out)
     return out

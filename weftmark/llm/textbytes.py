@@ -10,7 +10,7 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from contextlib import contextmanager
 
 import numpy as np
@@ -157,6 +157,23 @@ def binary_column(data: np.ndarray, bounds: np.ndarray) -> pa.Array:
     ).cast(pa.binary())
 
 
+def map_rows(docs: DataFrame, function: Callable[[pa.RecordBatch], pa.RecordBatch], added: str = "") -> DataFrame:
+    """Puts every Arrow batch of whole rows through ``function``, which keeps the columns by place and appends those of ``added``.
+
+    Inside, columns are called c0, c1, ...; so names may clash with anything.
+    """
+    names = docs.columns
+    plain = docs.toDF(*[f"c{i}" for i in range(len(names))])
+    schema = ", ".join([*[f"{f.name} {f.dataType.simpleString()}" for f in plain.schema], *([added] if added else [])])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield function(batch)
+
+    out = plain.mapInArrow(run, schema)
+    return out.toDF(*names, *out.columns[len(names) :])
+
+
 def _shared_folder(spark: SparkSession) -> str:
     """The folder that the cluster shares, spark.checkpoint.dir; only where that is unset (tests on one machine) one of our own."""
     return spark.conf.get("spark.checkpoint.dir", None) or os.path.join(tempfile.gettempdir(), "weftmark-checkpoints")

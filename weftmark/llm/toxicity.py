@@ -9,13 +9,12 @@ from dataclasses import dataclass, field
 from functools import lru_cache
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from weftmark.llm.textbytes import Words, hash_word, pieces
+from weftmark.llm.textbytes import Words, hash_word, map_rows, pieces
 
 #: Labelled documents that the lexicon is learned from at most; those of the smallest id hashes are taken.
 MAX_LABELLED = 4000
@@ -279,12 +278,13 @@ def scores(docs: DataFrame, lexicon: Lexicon = BASE, doc_id: str = "doc_id", tex
 def reject(docs: DataFrame, lexicon: Lexicon = BASE, threshold: float = THRESHOLD, text: str = "text", lang: str | None = "lang") -> DataFrame:
     """The documents that score less than ``threshold``, with all their columns; null and empty texts stay."""
 
-    @F.pandas_udf("double")
-    def score(texts: pd.Series, langs: pd.Series) -> pd.Series:
-        out = np.zeros(len(texts))
-        for r, x in score_column(pa.array(texts, pa.string(), from_pandas=True), pa.array(langs, pa.string(), from_pandas=True), lexicon):
-            out[r] = round(sum(c[0] for c in x), 6)
-        return pd.Series(out)
+    where, language = docs.columns.index(text), docs.columns.index(lang) if lang and lang in docs.columns else None
 
-    language = F.col(lang) if lang and lang in docs.columns else F.lit(None).cast("string")
-    return docs.where(score(F.col(text), language) < threshold)
+    def kept(batch: pa.RecordBatch) -> pa.RecordBatch:
+        langs = pa.nulls(batch.num_rows, pa.string()) if language is None else batch.column(language)
+        keep = np.ones(batch.num_rows, bool)
+        for r, x in score_column(batch.column(where), langs, lexicon):
+            keep[r] = round(sum(c[0] for c in x), 6) < threshold
+        return batch.filter(pa.array(keep))
+
+    return map_rows(docs, kept)
