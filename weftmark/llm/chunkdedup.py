@@ -153,5 +153,7 @@ def remove(docs: DataFrame, found: DataFrame, doc_id: str = "doc_id", text: str
             out.append(t)
         return pd.Series(out, dtype=object)
 
-    joined = docs.join(spans, F.col(doc_id) == F.col("_key"), "left")
-    return joined.withColumn(text, clean(F.col(text), F.col("_spans"))).select(*[F.col(f"`{c}`") for c in docs.columns])
+    plain = [f"c{i}" for i in range(len(docs.columns))]
+    id_, text_ = (plain[docs.columns.index(c)] for c in (doc_id, text))
+    joined = docs.toDF(*plain).join(spans, F.col(id_) == F.col("_key"), "left")
+    return joined.withColumn(text_, clean(F.col(text_), F.col("_spans"))).select(*plain).toDF(*docs.columns)

@@ -148,7 +148,8 @@ def train_on(docs: DataFrame, max_per_language: int = MAX_PER_LANGUAGE, doc_id:
 
     ids = docs.where(F.col(lang).isNotNull() & F.col(text).isNotNull() & (F.col(text) != "") & F.col(doc_id).isNotNull()).select(F.col(lang).alias("_l"), F.col(doc_id).alias("_id"), F.xxhash64(doc_id).alias("_h"))
     picked = ids.withColumn("_n", F.row_number().over(Window.partitionBy("_l").orderBy("_h", "_id"))).where(F.col("_n") <= max_per_language).select("_id").distinct()
-    rows = docs.join(F.broadcast(picked), F.col(doc_id) == F.col("_id")).where(F.col(lang).isNotNull() & F.col(text).isNotNull()).select(F.col(lang).alias("l"), F.col(text).alias("t")).collect()
+    texts = docs.where(F.col(lang).isNotNull() & F.col(text).isNotNull()).select(F.col(doc_id).alias("_d"), F.col(lang).alias("l"), F.col(text).alias("t"))
+    rows = texts.join(F.broadcast(picked), F.col("_d") == F.col("_id")).select("l", "t").collect()
     samples: dict[str, list[bytes]] = {}
     for l, t in sorted((r.l, r.t) for r in rows):
         samples.setdefault(l, []).append(t.encode())

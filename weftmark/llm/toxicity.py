@@ -186,7 +186,8 @@ def learn_from(docs: DataFrame, labels: DataFrame | None, max_labelled: int = MA
     known = labels.where(F.col(label).isNotNull() & F.col(doc_id).isNotNull()).select(F.col(doc_id).alias("_id"), F.col(label).cast("int").alias("_toxic"))
     sample = known.orderBy(F.xxhash64("_id"), "_id", "_toxic").limit(max_labelled)
     language = F.col(lang) if lang and lang in docs.columns else F.lit(None).cast("string")
-    rows = docs.where(F.col(text).isNotNull()).join(F.broadcast(sample), F.col(doc_id) == F.col("_id")).select(language.alias("l"), F.col(text).alias("t"), "_toxic").collect()
+    texts = docs.where(F.col(text).isNotNull()).select(F.col(doc_id).alias("_d"), language.alias("l"), F.col(text).alias("t"))
+    rows = texts.join(F.broadcast(sample), F.col("_d") == F.col("_id")).select("l", "t", "_toxic").collect()
     return learn(sorted({(r.l, r.t, r._toxic) for r in rows}, key=str))
 
 
