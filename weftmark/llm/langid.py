@@ -109,7 +109,7 @@ def train(samples: dict[str, list[bytes]], order: int = ORDER, least: int = LEAS
                     base[symbols[b]] = np.log2((t + q) / v)
             cost[i, :, x] = base
         cost[i, end] = 0
-    return Model(languages, symbols, width, (move * width).astype(np.int32).reshape(-1), cost.reshape(-1, len(languages)))
+    return Model(languages, symbols, width, (move * width).astype(np.int32).reshape(-1), cost.reshape(len(nodes) * width, len(languages)))
 
 
 def code_lengths(model: Model, text: np.ndarray, offsets: np.ndarray) -> np.ndarray:
