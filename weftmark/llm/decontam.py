@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import tempfile
 from bisect import bisect_right
 from collections.abc import Iterator
 from functools import lru_cache
@@ -12,7 +13,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from weftmark.llm.textbytes import Words, buffer, cut, map_rows, pieces
+from weftmark.llm.textbytes import Words, buffer, pieces
 
 #: A match of this many tokens is removed whatever surrounds it.
 MAX_TOKENS = 10
@@ -20,7 +21,7 @@ MAX_TOKENS = 10
 MIN_TOKENS = 5
 #: Greatest share of a document's tokens, or of an item's, that short matches may cover.
 COVERAGE = 0.5
-#: Bytes of items in one automaton; more items are spread over several passes.
+#: Bytes of items in one automaton; more items are spread over several, matched one after the other.
 AUTOMATON_BYTES = 1 << 20
 
 
@@ -32,7 +33,10 @@ class SuffixAutomaton:
         self.link = [-1]
         self.length = [0]
         self.end = [-1]  # where the first occurrence of the state's strings ends
+        self.cloned = [True]  # no occurrence of its own, only those of the states that link to it
         self.begins: list[int] = []
+        self._below: list[list[int]] | None = None
+        self._holders: dict[int, dict[int, int]] = {}
         last = at = 0
         for i, item in enumerate(items):
             self.begins.append(at)
@@ -53,7 +57,7 @@ class SuffixAutomaton:
         if self.length[q] == self.length[p] + 1:
             self.link[new] = q
             return new
-        clone = self._state(dict(self.next[q]), self.length[p] + 1, self.end[q])
+        clone = self._state(dict(self.next[q]), self.length[p] + 1, self.end[q], True)
         self.link[clone] = self.link[q]
         while p >= 0 and self.next[p].get(token) == q:
             self.next[p][token] = clone
@@ -61,11 +65,12 @@ class SuffixAutomaton:
         self.link[q] = self.link[new] = clone
         return new
 
-    def _state(self, following: dict[int, int], length: int, end: int) -> int:
+    def _state(self, following: dict[int, int], length: int, end: int, cloned: bool = False) -> int:
         self.next.append(following)
         self.length.append(length)
         self.link.append(-1)
         self.end.append(end)
+        self.cloned.append(cloned)
         return len(self.next) - 1
 
     def matches(self, tokens: list[int], least: int) -> list[tuple[int, int, int, int]]:
@@ -98,6 +103,51 @@ class SuffixAutomaton:
             found.append((a, b, item, e + 1 - size - self.begins[item]))
         return found
 
+    def holders(self, state: int) -> dict[int, int]:
+        """item -> where the first occurrence of the state's strings in it ends, for every item that holds them."""
+        if (known := self._holders.get(state)) is not None:
+            return known
+        if self._below is None:
+            self._below = [[] for _ in self.link]
+            for s, to in enumerate(self.link[1:], 1):
+                self._below[to].append(s)
+        found: dict[int, int] = {}
+        left = [state]
+        while left:
+            s = left.pop()
+            left += self._below[s]
+            if not self.cloned[s]:
+                item = bisect_right(self.begins, self.end[s]) - 1
+                found[item] = min(self.end[s], found.get(item, self.end[s]))
+        self._holders[state] = found
+        return found
+
+    def item_matches(self, tokens: list[int], least: int) -> list[tuple[int, int, int, int]]:
+        """As ``matches`` of each item by itself, so no item's matches depend on which others there are."""
+        found = []
+        following, link, length = self.next, self.link, self.length
+        running: dict[int, tuple[int, int]] = {}  # item -> (begin, place in the item)
+        state = size = 0
+        for i, t in enumerate(tokens):
+            while state and t not in following[state]:
+                state = link[state]
+                size = length[state]
+            if t in following[state]:
+                state = following[state][t]
+                size += 1
+            now: dict[int, tuple[int, int]] = {}
+            s, n = state, size
+            while n >= least:
+                for item, e in self.holders(s).items():
+                    if item not in now:
+                        now[item] = (i + 1 - n, e + 1 - n - self.begins[item])
+                s = link[s]
+                n = length[s]
+            found += [(a, i, item, place) for item, (a, place) in running.items() if item not in now or now[item][0] != a]
+            running = now
+        found += [(a, len(tokens), item, place) for item, (a, place) in running.items()]
+        return found
+
 
 @lru_cache(4)
 def _automaton(hashes: bytes, bounds: tuple[int, ...]) -> tuple[SuffixAutomaton, np.ndarray]:
@@ -158,13 +208,13 @@ def _parts(items: DataFrame, item_id: str, text: str, limit: int) -> list[tuple[
     return parts
 
 
-def _find(column: pa.Array, hashes: bytes, bounds: tuple[int, ...], max_tokens: int, min_tokens: int, coverage: float) -> Iterator[tuple[int, int, list[tuple[int, int, int, int]]]]:
-    """(row, tokens, [(first byte, last byte, item, tokens)]) of the texts with anything to remove."""
+def _matches(column: pa.Array, part: tuple[list, bytes, tuple[int, ...]], first_item: int, least: int) -> dict[int, tuple[int, list[tuple[int, int, int, int]]]]:
+    """row -> (tokens, matches with the part's items, which count from ``first_item``)."""
+    _, hashes, bounds = part
     automaton, vocabulary = _automaton(hashes, bounds)
+    found: dict[int, tuple[int, list[tuple[int, int, int, int]]]] = {}
     if not len(vocabulary):
-        return
-    sizes = np.diff(bounds).tolist()
-    least = min(min_tokens, max_tokens)
+        return found
     for at, raw, offsets in pieces(pc.utf8_lower(column)):
         words = Words(raw, offsets)
         spot = np.minimum(np.searchsorted(vocabulary, words.hash), len(vocabulary) - 1)
@@ -177,17 +227,59 @@ def _find(column: pa.Array, hashes: bytes, bounds: tuple[int, ...], max_tokens:
         long = stop - begin >= least
         begin, stop = begin[long], stop[long]
         owner = np.searchsorted(words.bounds, begin, "right") - 1
-        found: dict[int, list[tuple[int, int, int, int]]] = {}
         for a, b, i in zip(begin.tolist(), stop.tolist(), owner.tolist(), strict=True):
-            if m := automaton.matches(spot[a:b].tolist(), least):
+            if m := automaton.item_matches(spot[a:b].tolist(), least):
                 shift = a - int(words.bounds[i])
-                found.setdefault(i, []).extend((x + shift, y + shift, item, place) for x, y, item, place in m)
-        for i, m in found.items():
-            n = int(words.bounds[i + 1] - words.bounds[i])
+                own = found.setdefault(at + i, (int(words.bounds[i + 1] - words.bounds[i]), []))[1]
+                own.extend((x + shift, y + shift, item + first_item, place) for x, y, item, place in m)
+    return found
+
+
+def _find(batches: Iterator[pa.RecordBatch], at: int, parts: list[tuple[list, bytes, tuple[int, ...]]], max_tokens: int, min_tokens: int, coverage: float) -> Iterator[tuple[pa.RecordBatch, list[tuple[int, int, list[tuple[int, int, int, int]]]]]]:
+    """Each batch with (row, tokens, [(first byte, last byte, item, tokens)]) of its texts, in column ``at``, with anything to remove.
+
+    Of several parts one is matched at a time, over batches kept in a local
+    file, and a text is judged by the matches of all.
+    """
+    least = max(min(min_tokens, max_tokens), 1)
+    sizes = [n for _, _, bounds in parts for n in np.diff(bounds).tolist()]
+
+    def judged(batch, found):
+        out = []
+        for r in sorted(found):
+            n, m = found[r]
             if cutting := spans(m, n, sizes, max_tokens, coverage):
-                original = np.frombuffer(column[at + i].as_py().encode(), np.uint8)
+                original = np.frombuffer(batch.column(at)[r].as_py().encode(), np.uint8)
                 own = Words(original, np.array([0, len(original)]))
-                yield at + i, n, [(int(own.start[a]), int(own.end[b - 1]), item, b - a) for a, b, item in cutting]
+                out.append((r, n, [(int(own.start[a]), int(own.end[b - 1]), item, b - a) for a, b, item in cutting]))
+        return batch, out
+
+    if len(parts) <= 1:
+        for batch in batches:
+            yield judged(batch, _matches(batch.column(at), parts[0], 0, least) if parts else {})
+        return
+    with tempfile.TemporaryFile() as spool:
+        writer = None
+        for batch in batches:
+            writer = writer or pa.ipc.new_stream(spool, batch.schema)
+            writer.write_batch(batch)
+        if writer is None:
+            return
+        writer.close()
+
+        def kept() -> Iterator[pa.RecordBatch]:
+            spool.seek(0)
+            return iter(pa.ipc.open_stream(spool))
+
+        found: dict[int, dict[int, tuple[int, list]]] = {}
+        first_item = 0
+        for part in parts:
+            for k, batch in enumerate(kept()):
+                for r, (n, m) in _matches(batch.column(at), part, first_item, least).items():
+                    found.setdefault(k, {}).setdefault(r, (n, []))[1].extend(m)
+            first_item += len(part[2]) - 1
+        for k, batch in enumerate(kept()):
+            yield judged(batch, found.pop(k, {}))
 
 
 def _without(text: str, removed: list[tuple[int, int, int, int]]) -> str:
@@ -209,8 +301,8 @@ def contamination(docs: DataFrame, items: DataFrame, max_tokens: int = MAX_TOKEN
     one item. A span holds first and last byte (UTF-8), item and tokens.
 
     Items of up to ``automaton_bytes`` go to the workers as one automaton.
-    Beyond, the documents are read once for each part of the items, and a
-    document found by several parts has a row for each.
+    Beyond, each task matches its documents with one part of the items after
+    the other; the rows are those of a single automaton.
 
     Null and empty texts and items match nothing; equal items are reported by
     the smallest id. Repeated rows give repeated results, null ids are kept,
@@ -220,28 +312,26 @@ def contamination(docs: DataFrame, items: DataFrame, max_tokens: int = MAX_TOKEN
     kind = rows.schema["_key"].dataType.simpleString()
     item_kind = items.schema[item_id].dataType.simpleString()
     schema = f"_key {kind}, item_ids array<{item_kind}>, spans array<struct<start:int,end:int,item_id:{item_kind},tokens:int>>, n_tokens int, removed_tokens int, clean_text string"
-    out = None
-    for ids, hashes, bounds in _parts(items, item_id, item_text, automaton_bytes) or [([], b"", (0,))]:
-
-        def run(batches: Iterator[pa.RecordBatch], ids=ids, hashes=hashes, bounds=bounds) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                got = list(_find(batch.column(1), hashes, bounds, max_tokens, min_tokens, coverage))
-                keys = batch.column(0).take(pa.array([r for r, _, _ in got], pa.int64()))
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        keys,
-                        pa.array([sorted({ids[s[2]] for s in x}, key=lambda v: (v is None, v)) for _, _, x in got], pa.list_(pa.int64() if item_kind == "bigint" else pa.string())),
-                        pa.array([[{"start": a, "end": b, "item_id": ids[i], "tokens": t} for a, b, i, t in x] for _, _, x in got], pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("item_id", pa.int64() if item_kind == "bigint" else pa.string()), ("tokens", pa.int32())]))),
-                        pa.array([n for _, n, _ in got], pa.int32()),
-                        pa.array([sum(s[3] for s in x) for _, _, x in got], pa.int32()),
-                        pa.array([_without(batch.column(1)[r].as_py(), x) for r, _, x in got], pa.string()),
-                    ],
-                    names=["_key", "item_ids", "spans", "n_tokens", "removed_tokens", "clean_text"],
-                )
-
-        part = rows.mapInArrow(run, schema)
-        out = part if out is None else out.unionByName(part)
-    return out.withColumnRenamed("_key", doc_id)
+    parts = _parts(items, item_id, item_text, automaton_bytes)
+    shared = docs.sparkSession.sparkContext.broadcast(parts)
+    ids = [i for part in parts for i in part[0]]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch, got in _find(batches, 1, shared.value, max_tokens, min_tokens, coverage):
+            keys = batch.column(0).take(pa.array([r for r, _, _ in got], pa.int64()))
+            yield pa.RecordBatch.from_arrays(
+                [
+                    keys,
+                    pa.array([sorted({ids[s[2]] for s in x}, key=lambda v: (v is None, v)) for _, _, x in got], pa.list_(pa.int64() if item_kind == "bigint" else pa.string())),
+                    pa.array([[{"start": a, "end": b, "item_id": ids[i], "tokens": t} for a, b, i, t in x] for _, _, x in got], pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("item_id", pa.int64() if item_kind == "bigint" else pa.string()), ("tokens", pa.int32())]))),
+                    pa.array([n for _, n, _ in got], pa.int32()),
+                    pa.array([sum(s[3] for s in x) for _, _, x in got], pa.int32()),
+                    pa.array([_without(batch.column(1)[r].as_py(), x) for r, _, x in got], pa.string()),
+                ],
+                names=["_key", "item_ids", "spans", "n_tokens", "removed_tokens", "clean_text"],
+            )
+
+    return rows.mapInArrow(run, schema).withColumnRenamed("_key", doc_id)
 
 
 def decontaminate(docs: DataFrame, items: DataFrame, max_tokens: int = MAX_TOKENS, min_tokens: int = MIN_TOKENS, coverage: float = COVERAGE, text: str = "text", length: str | None = "n_chars", item_id: str = "item_id", item_text: str = "text", automaton_bytes: int = AUTOMATON_BYTES) -> DataFrame:
@@ -250,31 +340,31 @@ def decontaminate(docs: DataFrame, items: DataFrame, max_tokens: int = MAX_TOKEN
     ``length`` is set anew where the text changes, if there is such a column. A
     document of which no word is left is dropped; null, empty and wordless
     texts that hold no match stay as they are. Items beyond ``automaton_bytes``
-    are removed part by part, a checkpoint after each.
+    are matched part by part and removed together.
     """
-    out = docs
     at, size = docs.columns.index(text), docs.columns.index(length) if length in docs.columns else None
-    parts = _parts(items, item_id, item_text, automaton_bytes)
-    for k, (_, hashes, bounds) in enumerate(parts):
-
-        def clean(batch: pa.RecordBatch, hashes=hashes, bounds=bounds) -> pa.RecordBatch:
-            column = batch.column(at)
-            found = {r: _without(column[r].as_py(), removed) for r, _, removed in _find(column, hashes, bounds, max_tokens, min_tokens, coverage)}
-            if not found:
-                return batch
-            rows = np.array(sorted(found))
-            changed = np.zeros(batch.num_rows, bool)
-            changed[rows] = True
-            texts = pa.array([found[r] for r in rows.tolist()], column.type)
-            columns = list(batch.columns)
-            columns[at] = pc.replace_with_mask(column, pa.array(changed), texts)
-            if size is not None:
-                columns[size] = pc.replace_with_mask(columns[size], pa.array(changed), pc.utf8_length(texts).cast(columns[size].type))
-            keep = ~changed
-            keep[rows] = [len(Words(*buffer(texts.slice(i, 1))).start) > 0 for i in range(len(rows))]
-            return pa.RecordBatch.from_arrays(columns, schema=batch.schema).filter(pa.array(keep))
-
-        out = map_rows(out, clean)
-        if k < len(parts) - 1:
-            out = cut(out)
-    return out
+    shared = docs.sparkSession.sparkContext.broadcast(_parts(items, item_id, item_text, automaton_bytes))
+
+    def clean(batch: pa.RecordBatch, got: list) -> pa.RecordBatch:
+        column = batch.column(at)
+        found = {r: _without(column[r].as_py(), removed) for r, _, removed in got}
+        if not found:
+            return batch
+        rows = np.array(sorted(found))
+        changed = np.zeros(batch.num_rows, bool)
+        changed[rows] = True
+        texts = pa.array([found[r] for r in rows.tolist()], column.type)
+        columns = list(batch.columns)
+        columns[at] = pc.replace_with_mask(column, pa.array(changed), texts)
+        if size is not None:
+            columns[size] = pc.replace_with_mask(columns[size], pa.array(changed), pc.utf8_length(texts).cast(columns[size].type))
+        keep = ~changed
+        keep[rows] = [len(Words(*buffer(texts.slice(i, 1))).start) > 0 for i in range(len(rows))]
+        return pa.RecordBatch.from_arrays(columns, schema=batch.schema).filter(pa.array(keep))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch, got in _find(batches, at, shared.value, max_tokens, min_tokens, coverage):
+            yield clean(batch, got)
+
+    plain = docs.toDF(*[f"c{i}" for i in range(len(docs.columns))])
+    return plain.mapInArrow(run, plain.schema).toDF(*docs.columns)
