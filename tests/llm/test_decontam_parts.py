@@ -21,3 +21,24 @@ def test_parts_give_the_rows_of_one_automaton(spark):
     assert not any(w.startswith("w") for r in one for w in r.clean_text.split())
     one, many = (sorted(decontam.decontaminate(docs, items, automaton_bytes=n).collect()) for n in (1 << 20, 1))
     assert one == many and len(one) == 8
+
+
+def test_short_matches_count_for_every_item_that_holds_them(spark):
+    b = [f"b{i}" for i in range(15)]
+    first = [*[f"a{i}" for i in range(20)], *b[:7], *[f"c{i}" for i in range(20)]]
+    filler = [f"x{i}" for i in range(200)]
+    text = " ".join([*filler[:70], *b[:7], *filler[70:140], *b[8:], *filler[140:]])
+    docs = spark.createDataFrame([(1, text)], "doc_id bigint, text string")
+    items = spark.createDataFrame([(1, " ".join(first)), (2, " ".join(b))], "item_id bigint, text string")
+    (row,) = decontam.contamination(docs, items).collect()
+    assert row.item_ids == [2] and row.removed_tokens == 14
+
+
+def test_item_matches_against_each_item_alone():
+    r = random.Random(6)
+    for _ in range(200):
+        lists = [[r.randrange(4) for _ in range(r.randrange(1, 12))] for _ in range(4)]
+        text = [r.randrange(5) for _ in range(30)]
+        got = decontam.SuffixAutomaton(lists).item_matches(text, 2)
+        want = {(a, b, k, place) for k, x in enumerate(lists) for a, b, _, place in decontam.SuffixAutomaton([x]).matches(text, 2)}
+        assert set(got) == want and len(got) == len(want)
