@@ -6,9 +6,8 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from weftmark.llm.textbytes import mix, pieces
@@ -17,7 +16,7 @@ from weftmark.llm.textbytes import mix, pieces
 MASK, WINDOW = np.uint16(0xF800), 16
 #: Bounds of a chunk's bytes. A chunk is WINDOW bytes at least, so that no cut depends on what lies before the text.
 MIN_CHUNK, MAX_CHUNK = 16, 256
-#: Bytes of adjoining repeated chunks that are removed: some 25 words, as chunks at the edges of a longer repeat differ.
+#: Bytes of a repeat that are removed, some 25 words; the parts of chunks at its edges count.
 MIN_RUN = 160
 
 _GEAR = (mix(np.arange(1, 257, dtype=np.uint64)) & np.uint64(0xFFFF)).astype(np.uint16)
@@ -78,24 +77,54 @@ def chunks(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataF
     return rows.mapInArrow(run, f"_key {kind}, start int, end int, d1 bigint, d2 bigint")
 
 
+def _shared(a: bytes, b: bytes) -> int:
+    """Bytes that both begin with."""
+    if a[:1] != b[:1]:
+        return 0
+    low, high = 0, min(len(a), len(b))
+    while low < high:
+        middle = (low + high + 1) // 2
+        if a[low:middle] == b[low:middle]:
+            low = middle
+        else:
+            high = middle - 1
+    return low
+
+
+def _reach(own: bytes, first: bytes, left: bool) -> int:
+    """Bytes by which a run grows into ``own``, which lies before it (``left``) or after it, as far as ``first`` agrees; whole characters."""
+    n = _shared(own[::-1], first[::-1]) if left else _shared(own, first)
+    if left:
+        while n and own[len(own) - n] & 0xC0 == 0x80:
+            n -= 1
+    else:
+        while 0 < n < len(own) and own[n] & 0xC0 == 0x80:
+            n -= 1
+    return n
+
+
 def repeats(docs: DataFrame, min_run: int = MIN_RUN, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """The documents with passages that occur before: doc_id, removed_bytes, spans (start, end; bytes), first_doc_ids.
 
     Texts are cut where a gear hash of the last 16 bytes has five zero bits, so
     cuts move with the text and an insertion changes the chunks around it alone.
     Of equal chunks, the first in the document of the smallest id stays. All
-    others are repeats; a run of adjoining repeats of ``min_run`` bytes is a
-    span to remove. first_doc_ids lists the documents where the removed chunks
-    stay. ``remove`` cuts the spans out.
+    others are repeats. A run of adjoining repeats grows byte by byte into the
+    chunks around it, as far as they agree with those around the first; of
+    ``min_run`` bytes then, it is a span to remove. Every removed byte has its
+    like in a document of smaller id or further to the front. first_doc_ids
+    lists the documents where the removed chunks stay. ``remove`` cuts the
+    spans out. A repeat that holds no whole equal chunk isn't found.
 
     Null ids and null or empty texts take no part. Rows of equal id are one
-    document: if their texts are equal too they count once. Other columns are
+    document: if their texts are equal too they count once, if not, runs grow as
+    far as all of them agree. Other columns are
     left out. An empty table gives no rows.
     """
     pieces_ = chunks(docs, doc_id, text)
-    kept = pieces_.groupBy("d1", "d2").agg(F.count("*").alias("n"), F.min("_key").alias("first")).where("n > 1").drop("n")
-    repeated = pieces_.join(kept, ["d1", "d2"]).select("_key", "start", "end", "d1", "d2", "first")
-    lists = repeated.groupBy("_key").agg(F.sort_array(F.collect_set(F.struct("start", "end", "d1", "d2", "first"))).alias("c"))
+    first = F.min(F.struct("_key", "start")).over(Window.partitionBy("d1", "d2"))
+    repeated = pieces_.select("_key", "start", "end", first.alias("at")).where("_key != at._key or start != at.start").select("_key", "start", "end", F.col("at._key").alias("first"), F.col("at.start").alias("first_start"))
+    lists = repeated.groupBy("_key").agg(F.sort_array(F.collect_set(F.struct("start", "end", "first", "first_start"))).alias("c"))
     kind = lists.schema["_key"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -103,35 +132,79 @@ def repeats(docs: DataFrame, min_run: int = MIN_RUN, doc_id: str = "doc_id", tex
             column = batch.column(1)
             bounds = np.asarray(column.offsets).astype(np.int64)
             bounds, flat = bounds - bounds[0], column.flatten()
-            start, end, d1, d2 = (flat.field(k).to_numpy() for k in range(4))
+            start, end, first_start = (flat.field(k).to_numpy() for k in (0, 1, 3))
+            firsts = flat.field(2)
+            if not len(start):
+                continue
             owner = np.repeat(np.arange(len(column)), np.diff(bounds))
             keys = batch.column(0)
-            own = np.asarray(pc.equal(flat.field(4), keys.take(pa.array(owner)))).astype(bool)
-            order = np.lexsort((np.arange(len(owner)), d2, d1, owner))
-            new = np.ones(len(owner), bool)
-            same = (owner[order][1:] == owner[order][:-1]) & (d1[order][1:] == d1[order][:-1]) & (d2[order][1:] == d2[order][:-1])
-            new[order[1:]] = ~same
-            again = np.flatnonzero(~(own & new))
-            if not len(again):
-                continue
-            joins = (start[again][1:] == end[again][:-1]) & (owner[again][1:] == owner[again][:-1])
+            joins = (start[1:] == end[:-1]) & (owner[1:] == owner[:-1])
             heads = np.flatnonzero(np.append(True, ~joins))
-            tails = np.append(heads[1:], len(again)) - 1
-            a, b, who = start[again[heads]], end[again[tails]], owner[again[heads]]
-            long = b - a >= min_run
-            out: dict[int, tuple[list, set]] = {}
-            firsts = flat.field(4)
-            for x, y, w, h, t in zip(a[long].tolist(), b[long].tolist(), who[long].tolist(), heads[long].tolist(), tails[long].tolist(), strict=True):
-                spans, ids = out.setdefault(w, ([], set()))
-                spans.append({"start": x, "end": y})
-                ids.update(firsts.take(pa.array(again[h : t + 1])).to_pylist())
-            docs_ = list(out)
+            head, tail = heads, np.append(heads[1:], len(start)) - 1
+            a, b, who = start[head], end[tail], owner[head]
+            linked = who[1:] == who[:-1]
+            before = np.append(0, np.where(linked, b[:-1], 0))
+            after = np.append(np.where(linked, a[1:], 1 << 30), 1 << 30)
+            n = len(head)
+            ids = pa.ListArray.from_arrays(pa.array(np.append(heads, len(start)).astype(np.int32)), firsts)
+            ids = pa.concat_arrays([ids, pa.array([[]] * n, ids.type)])
+            # the chunk after a run has MAX_CHUNK bytes at most and isn't equal as a whole; before it, cuts may have differed for longer
+            size = np.append(np.maximum(a - before, 0), np.clip(after - b, 0, MAX_CHUNK))
+            yield pa.RecordBatch.from_arrays(
+                [
+                    keys.take(pa.array(np.append(who, who))),
+                    pa.array(np.append(a, a).astype(np.int32)),
+                    pa.array(np.append(b, b).astype(np.int32)),
+                    pa.array(np.arange(2 * n) < n),
+                    pa.array(size.astype(np.int32)),
+                    firsts.take(pa.array(np.append(head, tail))),
+                    pa.array(np.append(first_start[head], first_start[tail] + end[tail] - start[tail]).astype(np.int32)),
+                    ids,
+                ],
+                names=["_key", "start", "end", "left", "size", "first", "at", "ids"],
+            )
+
+    def grow(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            left, own, first = (batch.column(k).to_pylist() for k in (3, 5, 6))
+            yield pa.RecordBatch.from_arrays([*batch.columns[:5], pa.array([_reach(*x) for x in zip(own, first, left, strict=True)], pa.int32())], names=["_key", "start", "end", "left", "ids", "more"])
+
+    def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = []
+            for k, sides in enumerate(batch.column(1).to_pylist()):
+                more: dict[tuple[int, int], list] = {}
+                for x in sides:
+                    run_ = more.setdefault((x["start"], x["end"]), [1 << 30, 1 << 30, set()])
+                    run_[not x["left"]] = min(run_[not x["left"]], x["more"])
+                    run_[2].update(x["ids"])
+                spans: list[list] = []
+                for a, b, ids in sorted((a - left, b + right, ids) for (a, b), (left, right, ids) in more.items()):
+                    if spans and a <= spans[-1][1]:
+                        spans[-1][1] = max(spans[-1][1], b)
+                        spans[-1][2] |= ids
+                    else:
+                        spans.append([a, b, set(ids)])
+                if spans := [x for x in spans if x[1] - x[0] >= min_run]:
+                    out.append((k, spans))
             yield pa.RecordBatch.from_arrays(
-                [keys.take(pa.array(docs_, pa.int64())), pa.array([sum(s["end"] - s["start"] for s in out[w][0]) for w in docs_], pa.int64()), pa.array([out[w][0] for w in docs_], pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))), pa.array([sorted(out[w][1]) for w in docs_], pa.list_(firsts.type))],
+                [
+                    batch.column(0).take(pa.array([k for k, _ in out], pa.int64())),
+                    pa.array([sum(b - a for a, b, _ in x) for _, x in out], pa.int64()),
+                    pa.array([[{"start": a, "end": b} for a, b, _ in x] for _, x in out], pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))),
+                    pa.array([sorted(set().union(*[ids for _, _, ids in x])) for _, x in out], pa.list_(batch.column(0).type)),
+                ],
                 names=["_key", "removed_bytes", "spans", "first_doc_ids"],
             )
 
-    return lists.mapInArrow(run, f"_key {kind}, removed_bytes bigint, spans array<struct<start:int,end:int>>, first_doc_ids array<{kind}>").withColumnRenamed("_key", doc_id)
+    texts = docs.where(F.col(doc_id).isNotNull() & F.col(text).isNotNull()).select(F.col(doc_id).alias("_doc"), F.col(text).cast("binary").alias("_text"))
+    sides = lists.mapInArrow(run, f"_key {kind}, start int, end int, left boolean, size int, first {kind}, at int, ids array<{kind}>")
+    beside = lambda place, edge: F.when(F.col("left"), F.expr(f"substring(_text, greatest({place} - size, 0) + 1, least(size, {place}))")).otherwise(F.expr(f"substring(_text, {edge} + 1, size)"))
+    own = sides.join(texts, F.col("_key") == F.col("_doc")).select("_key", "start", "end", "left", "size", "first", "at", "ids", beside("start", "end").alias("own"))
+    both = own.join(texts, F.col("first") == F.col("_doc")).select("_key", "start", "end", "left", "ids", "own", beside("at", "at").alias("beside_first"))
+    grown = both.mapInArrow(grow, f"_key {kind}, start int, end int, left boolean, ids array<{kind}>, more int")
+    runs = grown.groupBy("_key").agg(F.collect_list(F.struct("start", "end", "left", "ids", "more")).alias("sides"))
+    return runs.mapInArrow(whole, f"_key {kind}, removed_bytes bigint, spans array<struct<start:int,end:int>>, first_doc_ids array<{kind}>").withColumnRenamed("_key", doc_id)
 
 
 def remove(docs: DataFrame, found: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
