@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from weftmark.llm.textbytes import Words, mix, pieces, written
 
-#: Words of a sentence at most; a longer one is read as several. Contexts reach to the sentence's start, however far.
+#: Words of a sentence at most; a longer one is read as several, so contexts have SENTENCE - 1 words at most.
 SENTENCE = 32
 #: A word that makes up this share of the corpus is hot: a context of hot words alone says too little and isn't used.
 HOT = 1 / 1024
