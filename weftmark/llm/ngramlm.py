@@ -1,4 +1,4 @@
-"""Unbounded n-gram scoring over sharded suffix arrays (operator 8)."""
+"""N-gram scoring by sharded groups of equal contexts within sentences (operator 8)."""
 
 from __future__ import annotations
 
@@ -231,11 +231,11 @@ def _join(group: np.ndarray, words: np.ndarray) -> np.ndarray:
 def score_runs(words: np.ndarray, offset: np.ndarray, size: np.ndarray, first: np.ndarray, base: Base, alpha: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(run, bits, words of the longest matching context) of every predicted word of a shard.
 
-    The reversed contexts are sorted from the anchor's key on, word by word:
-    after each further word those of equal beginning lie together in the
-    suffix array, and a context's range in it gives its count. Positions whose
-    context no other shares leave; the last range of a position is that of its
-    longest matching context.
+    The reversed contexts are grouped from the anchor's key on, word by word:
+    those of equal beginning have one group, by its hash, and the group's size
+    is the context's count, as a range in a suffix array would give it. No such
+    array is built. Positions whose context no other shares leave; the last
+    group of a position is that of its longest matching context.
     """
     targets = size - 1 - first
     run = np.repeat(np.arange(len(size)), targets)
@@ -287,13 +287,13 @@ def scores(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", sentence
 
         p(w | x) = (c(x w) + alpha p(w | x without its first word)) / (c(x) + alpha)
 
-    from the longest context that occurs elsewhere, of whatever length, down to
+    from the longest context in the sentence that occurs elsewhere, down to
     the shortest that holds a word that isn't hot (``hot``: its share of the
     corpus), and order 0 below: hot words by their share, all others alike.
 
     Contexts are sharded by their last word that isn't hot, so all occurrences
-    of a context, and its whole count, are in one shard; each shard sorts its
-    contexts to a suffix array. Shards hold about ``shard`` words, so their number
+    of a context, and its whole count, are in one shard; each shard groups
+    equal contexts by hash. Shards hold about ``shard`` words, so their number
     follows the corpus. Words are runs of letters, digits, _ and non-ASCII bytes,
     ASCII case folded, told apart by 48 bits of their hash.
 
