@@ -123,7 +123,7 @@ def highlight_segments(spark, d):
 
 
 def similarity_matrix(spark, d):
-    wide = pr.similarity_matrix(top_n_matches(spark, d).where("lhs < 100000"))
+    wide = pr.similarity_matrix(top_n_matches(spark, d))
     names = [F.col(c) for c in wide.columns if c != "doc_id"]
     return wide.unpivot(["doc_id"], names, "other", "similarity").select("doc_id", F.col("other").cast("bigint").alias("other"), "similarity") if names else wide
 
