@@ -11,14 +11,20 @@ from pyspark.sql import SparkSession
 
 from weftmark import __version__
 from weftmark.options import Options, RunInfo
-from weftmark.plans.analysis import analyze_directory, compare
+from weftmark.plans.analysis import analyze_directory, compare, compare_sources
 from weftmark.plans.report import Report, parse_format
 
+#: (name, left, right, what to expect, least and greatest percent)
 SELF_TEST = (
-    ("the same code", "int add(int a, int b) { return a + b; }", "int add(int a, int b) { return a + b; }"),
-    ("renamed", "int total(int n) { int s = 0; for (int i = 0; i < n; ++i) s += i; return s; }", "int sum(int m) { int t = 0; for (int j = 0; j < m; ++j) t += j; return t; }"),
-    ("unlike", "int add(int a, int b) { return a + b; }", 'class Log { public: void write(const char* s) { puts("x"); } };'),
-)
+    ("the same code", "int mul(int p, int q) { int r = p * q; return r; }", "int mul(int p, int q) { int r = p * q; return r; }", "100%", 100.0, 100.0),
+    (
+        "renamed and laid out anew",
+        "long total(int n) { long s = 0; while (n > 0) { s += n; n -= 1; } return s; }",
+        "// names and layout differ\nlong   sum( int m )\n{ long t = 0; /* so far */ while( m > 0 ){ t += m; m -= 1; }\n return t; }",
+        "more than 80%", 80.0, 100.0,
+    ),
+    ("other code", 'class Log { public: void write(const char* s) { puts("x"); } };', "for (;;) if (a[i] < b) a[i]++; else break;", "0%", 0.0, 0.0),
+)
 
 
 def positive(text: str) -> int:
@@ -51,7 +57,7 @@ def parser() -> argparse.ArgumentParser:
     p.add_argument("--format", default="text")
     p.add_argument("-o", "--output")
     p.add_argument("--no-normalize", action="store_true")
-    p.add_argument("--lexer", default="cpp", choices=("cpp", "python", "java", "javascript", "verbatim"))
+    p.add_argument("--lexer", default="cpp", choices=("cpp", "python", "java", "javascript", "verbatim", "auto"))
     return p
 
 
@@ -68,26 +74,49 @@ def main(argv: list[str] | None = None) -> int:
     spark = SparkSession.builder.master(f"local[{a.threads or '*'}]").config("spark.sql.shuffle.partitions", "8").config("spark.ui.enabled", "false").getOrCreate()
     options = Options(a.k, a.window, a.threshold, a.top_n, not a.no_normalize, lexer=a.lexer)
     if a.self_test:
-        for name, left, right in SELF_TEST:
-            print(f"{name}: {compare(spark, left, right):.2f}%")
-        return 0
+        return self_test(spark, a.k, a.window)
     if len(paths) == 2:
-        left, right = (open(x, "rb").read() for x in paths)
-        print(f"{compare(spark, left, right, options):.2f}%")
+        print_comparison(spark, paths, options)
         return 0
     began = time.time()
     analysis = analyze_directory(spark, paths[0], options)
-    text = Report(analysis, RunInfo(paths[0], datetime.datetime.now().isoformat(timespec="seconds"), (time.time() - began) * 1000)).render(fmt)
+    report = Report(analysis)
+    report.info = RunInfo(paths[0], datetime.datetime.now().isoformat(timespec="seconds"), (time.time() - began) * 1000, a.threads or 0)
     for w in analysis.warnings:
         print(w, file=sys.stderr)
     if a.output:
-        with open(a.output, "w") as f:
-            f.write(text)
-        print(f"wrote {a.output}", file=sys.stderr)
+        with open(a.output, "w", encoding="utf-8", newline="") as f:
+            f.writelines(report.parts(fmt))
+        print(f"Report written to {a.output}", file=sys.stderr)
     else:
-        print(text, end="")
+        sys.stdout.writelines(report.parts(fmt))
+    analysis.close()
     return 0
 
 
+def self_test(spark: SparkSession, k: int, window: int) -> int:
+    """0 if every case of SELF_TEST is as expected."""
+    failed = 0
+    for name, left, right, expected, least, most in SELF_TEST:
+        found = compare(spark, left, right, Options(k, window, normalize=False))
+        right_ = least <= found <= most
+        failed += not right_
+        print(f"{name}: {found:.2f}%, expected {expected}{'' if right_ else ': FAILED'}")
+    return int(failed > 0)
+
+
+def print_comparison(spark: SparkSession, paths: list[str], options: Options) -> None:
+    sources = []
+    for x in paths:
+        with open(x, "rb") as f:
+            sources.append(f.read())
+    profiles, pair = compare_sources(spark, *sources, options)
+    title = "Weftmark file comparison"
+    print(f"{title}\n{'-' * len(title)}\nk-gram size:       {options.k}\nwinnow window:     {options.window}\n")
+    for label, path, p in zip(("Left ", "Right"), paths, profiles.orderBy("doc_id").collect(), strict=True):
+        print(f"{label}: {path}\n  tokens:       {p.tokens}\n  k-grams:      {p.kgrams}\n  fingerprints: {p.fingerprints}")
+    print(f"\nSimilarity: {pair.first().similarity:.2f}%")
+
+
 if __name__ == "__main__":
     sys.exit(main())

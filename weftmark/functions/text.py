@@ -46,9 +46,14 @@ def json_escape(c: Column) -> Column:
 
 
 def oneline(c: Column, width: int = 80) -> Column:
-    """White space runs as one space; cut with dots at ``width``."""
+    """White space runs as one space; over ``width`` bytes cut with dots, before a character that would be split."""
     flat = F.regexp_replace(c, "[ \n\r\t]+", " ")
-    return F.when(F.length(flat) > width, F.concat(F.substring(flat, 1, max(width - 3, 0)), F.lit("..." if width >= 3 else ""))).otherwise(flat)
+    room = max(width - 3, 0)
+    head = F.substring(flat, 1, room)
+    # characters after which the bytes exceed the room: all but the first one of each further byte
+    fits = F.filter(F.sequence(F.lit(0), F.lit(room)), lambda n: F.octet_length(F.substring(head, F.lit(1), n)) <= room)
+    short = F.when(F.octet_length(head) <= room, head).otherwise(F.substring(head, F.lit(1), F.array_max(fits)))
+    return F.when(F.octet_length(flat) > width, F.concat(short, F.lit("." * min(width, 3)))).otherwise(flat)
 
 
 def fixed(c: Column, digits: int = 2) -> Column:

@@ -6,24 +6,26 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def matched_fragments(pairs: DataFrame, tokens: DataFrame, picks: DataFrame, k: int, per_hash: int = 3, total: int = 30) -> DataFrame:
+def matched_fragments(pairs: DataFrame, parsed: DataFrame, k: int, per_hash: int = 3, total: int = 30) -> DataFrame:
     """Places where both documents of a pair (lhs, rhs) have the same fingerprint.
 
     Hashes come by first appearance in lhs, places by position; at most
-    ``per_hash`` of a hash and ``total`` of a pair. Offsets and lengths are bytes.
+    ``per_hash`` of a hash and ``total`` of a pair. Offsets and lengths are
+    bytes, and come from the picks of ``parse``.
     """
-    left = picks.select(F.col("doc_id").alias("lhs"), "hash", F.col("pos").alias("a_token_pos"))
-    right = picks.select(F.col("doc_id").alias("rhs"), "hash", F.col("pos").alias("b_token_pos"))
-    both = pairs.select("lhs", "rhs").join(left, "lhs").join(right, ["rhs", "hash"]).where(F.lit(k > 0 and total > 0))
+    p = pairs.select("lhs", "rhs")
+    side = lambda doc, s: parsed.select(F.col("doc_id").alias(doc), F.inline("picks")).toDF(doc, f"{s}_token_pos", "hash", f"{s}_offset", f"{s}_length")
+    both = p.join(side("lhs", "a"), "lhs").join(side("rhs", "b"), ["rhs", "hash"]).where(F.lit(k > 0 and total > 0))
     own = Window.partitionBy("lhs", "rhs", "hash")
     both = both.withColumn("_n", F.row_number().over(own.orderBy("a_token_pos", "b_token_pos"))).withColumn("_first", F.min("a_token_pos").over(own)).where(F.col("_n") <= per_hash)
     both = both.withColumn("_n", F.row_number().over(Window.partitionBy("lhs", "rhs").orderBy("_first", "hash", "a_token_pos", "b_token_pos"))).where(F.col("_n") <= total)
-    begin = tokens.select("doc_id", "pos", "offset")
-    end = tokens.select("doc_id", (F.col("pos") - k + 1).alias("pos"), (F.col("offset") + F.col("length")).alias("end"))
-    span = begin.join(end, ["doc_id", "pos"])
-    a = span.select(F.col("doc_id").alias("lhs"), F.col("pos").alias("a_token_pos"), F.col("offset").alias("a_offset"), (F.col("end") - F.col("offset")).alias("a_length"))
-    b = span.select(F.col("doc_id").alias("rhs"), F.col("pos").alias("b_token_pos"), F.col("offset").alias("b_offset"), (F.col("end") - F.col("offset")).alias("b_length"))
-    return both.join(a, ["lhs", "a_token_pos"]).join(b, ["rhs", "b_token_pos"]).select("lhs", "rhs", "hash", "a_token_pos", "b_token_pos", "a_offset", "a_length", "b_offset", "b_length", F.col("_n").cast("bigint").alias("nth"))
+    return both.select("lhs", "rhs", "hash", "a_token_pos", "b_token_pos", "a_offset", "a_length", "b_offset", "b_length", F.col("_n").cast("bigint").alias("nth"))
+
+
+def documents_of(pairs: DataFrame, docs: DataFrame, key: str = "doc_id") -> DataFrame:
+    """The documents that are in a pair."""
+    ids = pairs.select(F.explode(F.array("lhs", "rhs")).alias("_in")).distinct()
+    return docs.join(ids, F.col(key) == F.col("_in"), "left_semi")
 
 
 def with_text(fragments: DataFrame, docs: DataFrame, key: str = "doc_id", source: str = "text") -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 
 @dataclass(frozen=True)
@@ -24,9 +24,13 @@ class Options:
         if not 0 <= self.threshold <= 100:
             raise ValueError("threshold must be within 0 and 100")
 
+    def using(self, lexer: str) -> Options:
+        return replace(self, lexer=lexer)
+
 
 @dataclass(frozen=True)
 class RunInfo:
     root: str = ""
     timestamp: str = ""
     duration_ms: float = 0.0
+    threads: int = 0

@@ -4,35 +4,77 @@ from __future__ import annotations
 
 from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from weftmark.operators import fragments as fr
 from weftmark.operators import pairs as pr
-from weftmark.operators.fingerprint import fingerprints, parse, profile
-from weftmark.operators.lexing import tokenize
-from weftmark.operators.normalize import collapsed_counts
+from weftmark.operators.fingerprint import parse
 from weftmark.options import Options
-from weftmark.sources.files import discover
+from weftmark.sources.files import LEXER_OF, discover
 
 
 @dataclass
 class Analysis:
-    """Lazy results: docs (doc_id, display, source), matches (ranked), summary (one row), tokens and picks for fragments."""
+    """Lazy results: docs (doc_id, display, source), matches (ranked), summary (one row), parsed (see ``parse``)."""
 
     docs: DataFrame
     matches: DataFrame
     summary: DataFrame
-    tokens: DataFrame
-    picks: DataFrame
+    parsed: DataFrame
     options: Options
     warnings: list[str] = field(default_factory=list)
+    held: list[DataFrame] = field(default_factory=list)
 
     def fragments(self, first: int = 10) -> DataFrame:
-        """Matched fragments with their texts of the first matches; only their documents are read."""
+        """Matched fragments with their texts of the first matches; only their documents are looked up."""
         top = self.matches.where(F.col("rank") <= first)
-        found = fr.matched_fragments(top, self.tokens, self.picks, self.options.k)
-        return fr.with_text(found, self.docs, "doc_id", "source")
+        found = fr.matched_fragments(top, fr.documents_of(top, self.parsed), self.options.k)
+        return fr.with_text(found, fr.documents_of(top, self.docs), "doc_id", "source")
+
+    def named(self) -> DataFrame:
+        """rank, file_a, file_b, similarity, shared_fingerprints, lhs and rhs of every match."""
+        names = self.docs.select("doc_id", "display")
+        out = self.matches.join(names.toDF("lhs", "file_a"), "lhs").join(names.toDF("rhs", "file_b"), "rhs")
+        return out.select("rank", "file_a", "file_b", "similarity", "shared_fingerprints", "lhs", "rhs")
+
+    def close(self) -> None:
+        """Frees what is cached."""
+        for df in self.held:
+            df.unpersist()
+
+
+def parse_each(docs: DataFrame, options: Options) -> DataFrame:
+    """``parse``; with the lexer "auto" each document by the lexer of its language, and by C++ rules where that is unknown."""
+    if options.lexer != "auto":
+        return parse(docs, options, "doc_id", "source")
+    language = F.col("language") if "language" in docs.columns else F.lit(None).cast("string")
+    out = None
+    for lexer in sorted(set(LEXER_OF.values())):
+        known = language.isin(*[k for k, v in LEXER_OF.items() if v == lexer])
+        other = ~F.coalesce(language.isin(*LEXER_OF), F.lit(False))
+        mine = docs.where((F.coalesce(known, F.lit(False)) | other) if lexer == "cpp" else known)
+        part = parse(mine, options.using(lexer), "doc_id", "source")
+        out = part if out is None else out.union(part)
+    return out
+
+
+def ranked(matches: DataFrame, top_n: int, held: list[DataFrame]) -> DataFrame:
+    """Adds rank, in the order of similarity, lhs and rhs.
+
+    All matches are sorted by range, and each partition's first rank follows
+    from the sizes of those before it, so no task holds more than its range. The
+    sorted table is cached and added to ``held``.
+    """
+    order = [F.desc("similarity"), F.asc("lhs"), F.asc("rhs")]
+    if top_n:
+        return matches.orderBy(*order).limit(top_n).withColumn("rank", F.row_number().over(Window.orderBy(*order)).cast("bigint"))
+    placed = matches.repartitionByRange(*order).withColumn("_part", F.spark_partition_id())
+    held.append(placed.persist())
+    before = F.coalesce(F.sum("n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    starts = placed.groupBy("_part").agg(F.count("*").alias("n")).select("_part", before.alias("_before"))
+    within = F.row_number().over(Window.partitionBy("_part").orderBy(*order))
+    return placed.withColumn("_k", within).join(F.broadcast(starts), "_part").withColumn("rank", (F.col("_before") + F.col("_k")).cast("bigint")).drop("_part", "_k", "_before")
 
 
 def analyze(docs: DataFrame, options: Options = Options(), key: str = "doc_id", source: str = "text", display: str | None = None, warnings: list[str] | None = None) -> Analysis:
@@ -40,35 +82,26 @@ def analyze(docs: DataFrame, options: Options = Options(), key: str = "doc_id",
 
     All pairs give the summary's figures, without being enumerated: those that
     share no fingerprint score 0, or 100 if both have none. Only a threshold of 0
-    asks for the rows of pairs that share nothing.
+    asks for the rows of pairs that share nothing. Documents are parsed once,
+    and what that gives is cached, as are the scored pairs, until ``close``.
     """
-    docs = docs.select(F.col(key).alias("doc_id"), (F.col(display) if display else F.col(key).cast("string")).alias("display"), F.col(source).alias("source"))
-    tokens, grams, picks = parse(docs, options, "doc_id", "source")
-    prints = fingerprints(picks)
-    prints.persist()
-    prof = profile(docs, tokens, grams, picks)
-    indexed = pr.compare_indexed(prints, prof, options.min_shared if options.indexed else 1)
-    indexed.persist()
+    language = ["language"] if "language" in docs.columns else []
+    docs = docs.select(F.col(key).alias("doc_id"), (F.col(display) if display else F.col(key).cast("string")).alias("display"), F.col(source).alias("source"), *language)
+    parsed = parse_each(docs, options).persist()
+    indexed = pr.compare_indexed(parsed, options.min_shared if options.indexed else 1).persist()
     if options.indexed:
         rows = indexed
     elif options.threshold > 1e-9:
-        rows = indexed.union(pr.empty_pairs(prof))
+        rows = indexed.union(pr.empty_pairs(parsed))
     else:
-        rows = pr.compare_all(prints, prof)
+        rows = pr.compare_all(parsed)
     kept = rows.where(F.col("similarity") + 1e-9 >= options.threshold)
-    matches = pr.select_matches(rows, options.threshold, options.top_n)
-    from pyspark.sql import Window
-
-    ranked = matches.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("similarity"), "lhs", "rhs")).cast("bigint")) if options.top_n else None
-    if ranked is None:
-        # ranks of a sorted table, without drawing all rows to one task
-        ordered = matches.rdd.zipWithIndex().map(lambda r: (*r[0], r[1] + 1))
-        ranked = docs.sparkSession.createDataFrame(ordered, "lhs " + dict(matches.dtypes)["lhs"] + ", rhs " + dict(matches.dtypes)["rhs"] + ", similarity double, shared_fingerprints bigint, rank bigint")
-    parens = collapsed_counts(tokenize(docs, options.lexer, "doc_id", "source")) if options.normalize and options.lexer != "verbatim" else None
-    collapsed = parens.agg(F.coalesce(F.sum("parens_collapsed"), F.lit(0)).alias("parens_collapsed")) if parens is not None else docs.sparkSession.range(1).select(F.lit(0).cast("bigint").alias("parens_collapsed"))
     above = kept.agg(F.count("*").alias("matches_above_threshold"))
-    summary = pr.summary(indexed, prof, options.indexed).crossJoin(above).crossJoin(collapsed)
-    return Analysis(docs, ranked.select("rank", "lhs", "rhs", "similarity", "shared_fingerprints"), summary, tokens, picks, options, warnings or [])
+    collapsed = parsed.agg(F.coalesce(F.sum("parens_collapsed"), F.lit(0)).alias("parens_collapsed"))
+    summary = pr.summary(indexed, parsed, options.indexed).crossJoin(above).crossJoin(collapsed)
+    held = [parsed, indexed]
+    matches = ranked(kept, options.top_n, held).select("rank", "lhs", "rhs", "similarity", "shared_fingerprints")
+    return Analysis(docs, matches, summary, parsed, options, warnings or [], held)
 
 
 def analyze_directory(spark: SparkSession, root: str, options: Options = Options()) -> Analysis:
@@ -79,9 +112,13 @@ def analyze_directory(spark: SparkSession, root: str, options: Options = Options
     return analyze(files, options, "doc_id", "content", "display", warnings)
 
 
+def compare_sources(spark: SparkSession, left: str | bytes, right: str | bytes, options: Options = Options()) -> tuple[DataFrame, DataFrame]:
+    """(the two profiles, the one pair with similarity and shared_fingerprints) of two sources."""
+    raw = [(i, s.encode() if isinstance(s, str) else s) for i, s in enumerate((left, right))]
+    parsed = parse(spark.createDataFrame(raw, "doc_id bigint, source binary"), options, "doc_id", "source")
+    return parsed.select("doc_id", "tokens", "kgrams", "fingerprints", "parens_collapsed"), pr.compare_all(parsed)
+
+
 def compare(spark: SparkSession, left: str | bytes, right: str | bytes, options: Options = Options(normalize=False)) -> float:
     """Similarity in percent of two sources."""
-    raw = [(i, s.encode() if isinstance(s, str) else s) for i, s in enumerate((left, right))]
-    docs = spark.createDataFrame(raw, "doc_id bigint, text binary")
-    tokens, grams, picks = parse(docs, options)
-    return pr.compare_all(fingerprints(picks), profile(docs, tokens, grams, picks)).first().similarity
+    return compare_sources(spark, left, right, options)[1].first().similarity

@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import os
+from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -72,13 +74,30 @@ def discover(spark: SparkSession, root: str, deduplicate: bool = True) -> tuple[
             kept.append((len(kept), display, real))
         else:
             warnings.append(f"skipped '{display}': could not open file")
-    listing = spark.createDataFrame(kept, "doc_id bigint, display string, real string")
+    schema = "doc_id bigint, display string, path string, language string, content binary"
     if not kept:
-        return listing.select("doc_id", "display", F.lit("").alias("path"), F.lit("").alias("language"), F.lit(b"").alias("content")), warnings
-    # one read for each distinct file; the listing is the driver's anyway
-    files = spark.read.format("binaryFile").load(sorted({r for _, _, r in kept})).select(F.regexp_replace(F.col("path"), "^file:/*", "/").alias("_path"), "content")
-    joined = listing.join(files, F.url_decode(F.replace("_path", F.lit("+"), F.lit("%2B"))) == F.col("real"), "left")
-    return joined.select("doc_id", "display", F.col("real").alias("path"), detect_language(F.col("display")).alias("language"), F.coalesce("content", F.lit(b"")).alias("content")), warnings
+        return spark.createDataFrame([], schema), warnings
+    listing = spark.createDataFrame(kept, "doc_id bigint, display string, real string").repartition(min(len(kept), 4 * spark.sparkContext.defaultParallelism))
+    # a file is read where its row lies, by its path as it is: a reader of file tables would glob and encode it
+    read = listing.mapInArrow(_contents, "doc_id bigint, display string, path string, content binary, error string").persist()
+    warnings += [f"skipped '{r.display}': {r.error}" for r in read.where("error is not null").select("display", "error").orderBy("display").collect()]
+    found_ = read.where("error is null").withColumn("doc_id", F.col("doc_id"))
+    if any(w.endswith("could not read file") for w in warnings):
+        found_ = found_.withColumn("doc_id", (F.row_number().over(Window.orderBy("doc_id")) - 1).cast("bigint"))
+    return found_.select("doc_id", "display", "path", detect_language(F.col("display")).alias("language"), "content"), warnings
+
+
+def _contents(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for i in range(batch.num_rows):
+            row = batch.slice(i, 1)
+            content, error = None, None
+            try:
+                with open(row.column(2)[0].as_py(), "rb") as f:
+                    content = f.read()
+            except OSError:
+                error = "could not read file"
+            yield pa.RecordBatch.from_arrays([*row.columns, pa.array([content], pa.binary()), pa.array([error], pa.string())], names=["doc_id", "display", "path", "content", "error"])
 
 
 def uploads(files: DataFrame, least: int = 2, most: int = 100, max_bytes: int = 1 << 20) -> DataFrame:

@@ -19,7 +19,7 @@ def start(docs: DataFrame, prints_path: str, matches_path: str, checkpoint: str,
 
     def batch(rows: DataFrame, number: int) -> None:
         spark = rows.sparkSession
-        prints = fingerprints(parse(rows, options)[2])
+        prints = fingerprints(parse(rows, options))
         prints.write.mode("overwrite").parquet(f"{prints_path}/batch={number}")
         every = spark.read.option("basePath", prints_path).parquet(prints_path).where(F.col("batch") <= number)
         new = every.where(F.col("batch") == number).select(F.col("doc_id").alias("lhs"), "hash")
