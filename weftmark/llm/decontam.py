@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-import tempfile
+from array import array
 from bisect import bisect_right
 from collections.abc import Iterator
+from dataclasses import dataclass
 from functools import lru_cache
 
 import numpy as np
@@ -12,8 +13,9 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
-from weftmark.llm.textbytes import Words, buffer, pieces
+from weftmark.llm.textbytes import Words, buffer, ngrams, pieces
 
 #: A match of this many tokens is removed whatever surrounds it.
 MAX_TOKENS = 10
@@ -21,7 +23,8 @@ MAX_TOKENS = 10
 MIN_TOKENS = 5
 #: Greatest share of a document's tokens, or of an item's, that short matches may cover.
 COVERAGE = 0.5
-#: Bytes of items in one automaton; more items are spread over several, matched one after the other.
+#: Bytes of items in one automaton, so that building one takes a worker some 200 MB; more items make several, which
+#: are kept in some 10 bytes for each byte of items, and of which a text is put to those that share MIN_TOKENS tokens with it.
 AUTOMATON_BYTES = 1 << 20
 
 
@@ -43,6 +46,26 @@ class SuffixAutomaton:
             for token in [*item, -1 - i]:
                 last = self._extend(last, token, at)
                 at += 1
+        self._freeze()
+
+    def _freeze(self) -> None:
+        """Most states have one way on: it goes to two arrays, and only the others keep a dict."""
+        self.token, self.to = array("i", [0]) * len(self.next), array("i", [-1]) * len(self.next)
+        self.more: dict[int, dict[int, int]] = {}
+        for s, ways in enumerate(self.next):
+            if len(ways) == 1:
+                ((self.token[s], self.to[s]),) = ways.items()
+            elif ways:
+                self.more[s] = ways
+        self.next = []
+        self.link, self.length, self.end = array("i", self.link), array("i", self.length), array("i", self.end)
+
+    def follow(self, state: int, token: int) -> int:
+        """The state after ``token``, -1 for none."""
+        if (to := self.to[state]) >= 0:
+            return to if self.token[state] == token else -1
+        ways = self.more.get(state)
+        return ways.get(token, -1) if ways else -1
 
     def _extend(self, last: int, token: int, at: int) -> int:
         new = self._state({}, self.length[last] + 1, at)
@@ -76,21 +99,19 @@ class SuffixAutomaton:
     def matches(self, tokens: list[int], least: int) -> list[tuple[int, int, int, int]]:
         """(begin, end, item, place in the item) of each longest match that can't be prolonged and has ``least`` tokens."""
         out = []
-        following, link, length, end = self.next, self.link, self.length, self.end
+        follow, link, length, end = self.follow, self.link, self.length, self.end
         state = size = 0
         for i, t in enumerate(tokens):
-            to = following[state].get(t)
-            if to is not None:
+            if (to := follow(state, t)) >= 0:
                 state = to
                 size += 1
                 continue
             if size >= least:
                 out.append((i - size, i, end[state], size))
-            while state and t not in following[state]:
+            while state and follow(state, t) < 0:
                 state = link[state]
             size = length[state]
-            to = following[state].get(t)
-            if to is None:
+            if (to := follow(state, t)) < 0:
                 size = 0
             else:
                 state = to
@@ -125,15 +146,15 @@ class SuffixAutomaton:
     def item_matches(self, tokens: list[int], least: int) -> list[tuple[int, int, int, int]]:
         """As ``matches`` of each item by itself, so no item's matches depend on which others there are."""
         found = []
-        following, link, length = self.next, self.link, self.length
+        follow, link, length = self.follow, self.link, self.length
         running: dict[int, tuple[int, int]] = {}  # item -> (begin, place in the item)
         state = size = 0
         for i, t in enumerate(tokens):
-            while state and t not in following[state]:
+            while (to := follow(state, t)) < 0 and state:
                 state = link[state]
                 size = length[state]
-            if t in following[state]:
-                state = following[state][t]
+            if to >= 0:
+                state = to
                 size += 1
             now: dict[int, tuple[int, int]] = {}
             s, n = state, size
@@ -149,7 +170,7 @@ class SuffixAutomaton:
         return found
 
 
-@lru_cache(4)
+@lru_cache(None)
 def _automaton(hashes: bytes, bounds: tuple[int, ...]) -> tuple[SuffixAutomaton, np.ndarray]:
     words = np.frombuffer(hashes, np.uint64)
     vocabulary, ids = np.unique(words, return_inverse=True)
@@ -235,51 +256,63 @@ def _matches(column: pa.Array, part: tuple[list, bytes, tuple[int, ...]], first_
     return found
 
 
-def _find(batches: Iterator[pa.RecordBatch], at: int, parts: list[tuple[list, bytes, tuple[int, ...]]], max_tokens: int, min_tokens: int, coverage: float) -> Iterator[tuple[pa.RecordBatch, list[tuple[int, int, list[tuple[int, int, int, int]]]]]]:
+@dataclass
+class _Items:
+    """The parts, and in which of them each run of ``least`` tokens occurs: (gram, part) by gram."""
+
+    parts: list[tuple[list, bytes, tuple[int, ...]]]
+    least: int
+    grams: np.ndarray
+    part: np.ndarray
+
+    @classmethod
+    def of(cls, parts: list[tuple[list, bytes, tuple[int, ...]]], least: int) -> _Items:
+        grams, part = [np.zeros(0, np.uint64)], [np.zeros(0, np.int32)]
+        for k, (_, hashes, bounds) in enumerate(parts):
+            own = np.unique(ngrams(np.frombuffer(hashes, np.uint64), np.array(bounds), least)[0])
+            grams.append(own)
+            part.append(np.full(len(own), k, np.int32))
+        grams, part = np.concatenate(grams), np.concatenate(part)
+        order = np.argsort(grams, kind="stable")
+        return cls(parts, least, grams[order], part[order])
+
+    def texts_by_part(self, column: pa.Array) -> dict[int, np.ndarray]:
+        """part -> the texts that share a gram with it; no other text can have a match."""
+        at_, part_ = [], []
+        for at, raw, offsets in pieces(pc.utf8_lower(column)):
+            words = Words(raw, offsets)
+            grams, bounds = ngrams(words.hash, words.bounds, self.least)
+            low = np.searchsorted(self.grams, grams)
+            hit = np.flatnonzero(self.grams[np.minimum(low, len(self.grams) - 1)] == grams)
+            text = at + np.searchsorted(bounds, hit, "right") - 1
+            low, high = low[hit], np.searchsorted(self.grams, grams[hit], "right")
+            at_.append(np.repeat(text, high - low))
+            part_.append(self.part[np.repeat(high - np.cumsum(high - low), high - low) + np.arange((high - low).sum())])
+        text, part = np.concatenate([np.zeros(0, np.int64), *at_]), np.concatenate([np.zeros(0, np.int32), *part_])
+        return {int(k): np.unique(text[part == k]) for k in np.unique(part)}
+
+
+def _find(batches: Iterator[pa.RecordBatch], at: int, items: _Items, max_tokens: int, coverage: float) -> Iterator[tuple[pa.RecordBatch, list[tuple[int, int, list[tuple[int, int, int, int]]]]]]:
     """Each batch with (row, tokens, [(first byte, last byte, item, tokens)]) of its texts, in column ``at``, with anything to remove.
 
-    Of several parts one is matched at a time, over batches kept in a local
-    file, and a text is judged by the matches of all.
+    A text is judged by its matches with the items of all parts together.
     """
-    least = max(min(min_tokens, max_tokens), 1)
-    sizes = [n for _, _, bounds in parts for n in np.diff(bounds).tolist()]
-
-    def judged(batch, found):
+    sizes = [n for _, _, bounds in items.parts for n in np.diff(bounds).tolist()]
+    first = np.cumsum([0, *[len(bounds) - 1 for _, _, bounds in items.parts]]).tolist()
+    for batch in batches:
+        column = batch.column(at)
+        found: dict[int, tuple[int, list]] = {}
+        for k, texts in (items.texts_by_part(column) if len(items.grams) else {}).items():
+            for r, (n, m) in _matches(column.take(pa.array(texts)), items.parts[k], first[k], items.least).items():
+                found.setdefault(int(texts[r]), (n, []))[1].extend(m)
         out = []
         for r in sorted(found):
             n, m = found[r]
             if cutting := spans(m, n, sizes, max_tokens, coverage):
-                original = np.frombuffer(batch.column(at)[r].as_py().encode(), np.uint8)
+                original = np.frombuffer(column[r].as_py().encode(), np.uint8)
                 own = Words(original, np.array([0, len(original)]))
                 out.append((r, n, [(int(own.start[a]), int(own.end[b - 1]), item, b - a) for a, b, item in cutting]))
-        return batch, out
-
-    if len(parts) <= 1:
-        for batch in batches:
-            yield judged(batch, _matches(batch.column(at), parts[0], 0, least) if parts else {})
-        return
-    with tempfile.TemporaryFile() as spool:
-        writer = None
-        for batch in batches:
-            writer = writer or pa.ipc.new_stream(spool, batch.schema)
-            writer.write_batch(batch)
-        if writer is None:
-            return
-        writer.close()
-
-        def kept() -> Iterator[pa.RecordBatch]:
-            spool.seek(0)
-            return iter(pa.ipc.open_stream(spool))
-
-        found: dict[int, dict[int, tuple[int, list]]] = {}
-        first_item = 0
-        for part in parts:
-            for k, batch in enumerate(kept()):
-                for r, (n, m) in _matches(batch.column(at), part, first_item, least).items():
-                    found.setdefault(k, {}).setdefault(r, (n, []))[1].extend(m)
-            first_item += len(part[2]) - 1
-        for k, batch in enumerate(kept()):
-            yield judged(batch, found.pop(k, {}))
+        yield batch, out
 
 
 def _without(text: str, removed: list[tuple[int, int, int, int]]) -> str:
@@ -300,30 +333,33 @@ def contamination(docs: DataFrame, items: DataFrame, max_tokens: int = MAX_TOKEN
     removed too where they cover more than ``coverage`` of the document, or of
     one item. A span holds first and last byte (UTF-8), item and tokens.
 
-    Items of up to ``automaton_bytes`` go to the workers as one automaton.
-    Beyond, each task matches its documents with one part of the items after
-    the other; the rows are those of a single automaton.
+    Items of up to ``automaton_bytes`` make one automaton, and more make several,
+    all of which go to the workers, so a worker needs some 20 bytes for each byte
+    of items; texts are read once, and the rows are those of a single automaton.
 
-    Null and empty texts and items match nothing; equal items are reported by
+    Overlapping and adjoining matches make one span, which names the longest of
+    them, of equal ones the smallest item. Texts of any length are read whole.
+    Ids of documents and items may be of any type that sorts. Null and empty texts and items match nothing; equal items are reported by
     the smallest id. Repeated rows give repeated results, null ids are kept,
     other columns are left out. No items or no documents: no rows.
     """
     rows = docs.select(F.col(doc_id).alias("_key"), F.col(text).alias("_text"))
     kind = rows.schema["_key"].dataType.simpleString()
     item_kind = items.schema[item_id].dataType.simpleString()
+    item_type = to_arrow_type(items.schema[item_id].dataType)
     schema = f"_key {kind}, item_ids array<{item_kind}>, spans array<struct<start:int,end:int,item_id:{item_kind},tokens:int>>, n_tokens int, removed_tokens int, clean_text string"
     parts = _parts(items, item_id, item_text, automaton_bytes)
-    shared = docs.sparkSession.sparkContext.broadcast(parts)
+    shared = docs.sparkSession.sparkContext.broadcast(_Items.of(parts, max(min(min_tokens, max_tokens), 1)))
     ids = [i for part in parts for i in part[0]]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch, got in _find(batches, 1, shared.value, max_tokens, min_tokens, coverage):
+        for batch, got in _find(batches, 1, shared.value, max_tokens, coverage):
             keys = batch.column(0).take(pa.array([r for r, _, _ in got], pa.int64()))
             yield pa.RecordBatch.from_arrays(
                 [
                     keys,
-                    pa.array([sorted({ids[s[2]] for s in x}, key=lambda v: (v is None, v)) for _, _, x in got], pa.list_(pa.int64() if item_kind == "bigint" else pa.string())),
-                    pa.array([[{"start": a, "end": b, "item_id": ids[i], "tokens": t} for a, b, i, t in x] for _, _, x in got], pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("item_id", pa.int64() if item_kind == "bigint" else pa.string()), ("tokens", pa.int32())]))),
+                    pa.array([sorted({ids[s[2]] for s in x}, key=lambda v: (v is None, v)) for _, _, x in got], pa.list_(item_type)),
+                    pa.array([[{"start": a, "end": b, "item_id": ids[i], "tokens": t} for a, b, i, t in x] for _, _, x in got], pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("item_id", item_type), ("tokens", pa.int32())]))),
                     pa.array([n for _, n, _ in got], pa.int32()),
                     pa.array([sum(s[3] for s in x) for _, _, x in got], pa.int32()),
                     pa.array([_without(batch.column(1)[r].as_py(), x) for r, _, x in got], pa.string()),
@@ -339,11 +375,11 @@ def decontaminate(docs: DataFrame, items: DataFrame, max_tokens: int = MAX_TOKEN
 
     ``length`` is set anew where the text changes, if there is such a column. A
     document of which no word is left is dropped; null, empty and wordless
-    texts that hold no match stay as they are. Items beyond ``automaton_bytes``
-    are matched part by part and removed together.
+    texts that hold no match stay as they are, as do null ids and repeated rows,
+    each judged by itself; an empty table gives none. See ``contamination``.
     """
     at, size = docs.columns.index(text), docs.columns.index(length) if length in docs.columns else None
-    shared = docs.sparkSession.sparkContext.broadcast(_parts(items, item_id, item_text, automaton_bytes))
+    shared = docs.sparkSession.sparkContext.broadcast(_Items.of(_parts(items, item_id, item_text, automaton_bytes), max(min(min_tokens, max_tokens), 1)))
 
     def clean(batch: pa.RecordBatch, got: list) -> pa.RecordBatch:
         column = batch.column(at)
@@ -363,7 +399,7 @@ def decontaminate(docs: DataFrame, items: DataFrame, max_tokens: int = MAX_TOKEN
         return pa.RecordBatch.from_arrays(columns, schema=batch.schema).filter(pa.array(keep))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch, got in _find(batches, at, shared.value, max_tokens, min_tokens, coverage):
+        for batch, got in _find(batches, at, shared.value, max_tokens, coverage):
             yield clean(batch, got)
 
     plain = docs.toDF(*[f"c{i}" for i in range(len(docs.columns))])
