@@ -4,47 +4,34 @@ from __future__ import annotations
 
 import math
 import re
-from collections import Counter
 
 
 def words(text: str | None) -> list[str]:
     return [w.decode().translate({c: c + 32 for c in range(65, 91)}) for w in re.findall(rb"[A-Za-z0-9_\x80-\xff]+", (text or "").encode())]
 
 
-def sentences(text: str | None, longest: int) -> list[list[str]]:
-    out = []
-    for s in re.split(r"[.!?\n\r]", text or ""):
-        w = words(s)
-        out += [w[i : i + longest] for i in range(0, len(w), longest)]
-    return out
-
-
-def ngram_scores(docs: list[tuple[int, str | None]], longest: int, hot_share: float, alpha: float) -> dict[int, tuple[int, float, int]]:
-    """doc -> (tokens, bits, summed lengths of the longest matching contexts)."""
-    split = [(i, s) for i, t in docs for s in sentences(t, longest)]
-    counts = Counter(w for _, s in split for w in s)
-    total = sum(counts.values())
-    hot = {w for w, n in counts.items() if n >= hot_share * total}
-    rare = len(counts) - len(hot)
-    rest = (total - sum(counts[w] for w in hot)) / total / rare if rare else 0.0
-    context: Counter = Counter()
-    continued: Counter = Counter()
-    for _, s in split:
-        for i, w in enumerate(s):
-            for k in range(1, i + 1):
-                context[tuple(s[i - k : i])] += 1
-                continued[tuple(s[i - k : i]), w] += 1
+def ngram_scores(docs: list[tuple[int, str | None]], alpha: float) -> dict[int, tuple[int, float, int]]:
+    """doc -> (tokens, bits, summed lengths of the longest matching contexts), by trying every context."""
+    texts = [(i, words(t)) for i, t in docs]
+    total = sum(len(w) for _, w in texts)
+    places: dict[str, list[tuple[int, int]]] = {}
+    for d, (_, w) in enumerate(texts):
+        for i, x in enumerate(w):
+            places.setdefault(x, []).append((d, i))
     out = {i: (0, 0.0, 0) for i, _ in docs}
-    for doc, s in split:
-        for i, w in enumerate(s):
-            p, depth = counts[w] / total if w in hot else rest, 0
-            for k in range(1, i + 1):
-                x = tuple(s[i - k : i])
-                if all(v in hot for v in x):
-                    continue
-                if context[x] < 2:
-                    break
-                p, depth = (continued[x, w] - 1 + alpha * p) / (context[x] - 1 + alpha), k
-            n, bits, d = out[doc]
-            out[doc] = (n + 1, bits - math.log2(p), d + depth)
+    for d, (doc, w) in enumerate(texts):
+        for i, x in enumerate(w):
+            share = len(places[x]) / total
+            p, depth = share, 0
+            ends = [(e, j) for e, j in places[w[i - 1]] if (e, j) != (d, i - 1)] if i else []
+            while ends:
+                depth += 1
+                found = ends
+                ends = [(e, j) for e, j in ends if depth < i and j >= depth and texts[e][1][j - depth] == w[i - 1 - depth]]
+            if depth:
+                c = len(found)
+                followed = sum(j + 1 < len(texts[e][1]) and texts[e][1][j + 1] == x for e, j in found)
+                p = (followed + alpha * share) / (c + alpha)
+            n, bits, s = out[doc]
+            out[doc] = (n + 1, bits - math.log2(p), s + depth)
     return out

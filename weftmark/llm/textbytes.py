@@ -175,18 +175,30 @@ def map_rows(docs: DataFrame, function: Callable[[pa.RecordBatch], pa.RecordBatc
 
 
 def _shared_folder(spark: SparkSession) -> str:
-    """The folder that the cluster shares, spark.checkpoint.dir; only where that is unset (tests on one machine) one of our own."""
-    return spark.conf.get("spark.checkpoint.dir", None) or os.path.join(tempfile.gettempdir(), "weftmark-checkpoints")
+    """The folder that the cluster shares, spark.checkpoint.dir. Only a local session, which has but one machine, may leave it unset."""
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if folder:
+        return folder
+    if not spark.sparkContext.master.startswith("local["):
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+    return os.path.join(tempfile.gettempdir(), "weftmark-checkpoints")
 
 
 @contextmanager
 def written(df: DataFrame) -> Iterator[DataFrame]:
-    """``df`` as a Parquet table in the shared folder, which goes at the end of the block."""
+    """``df`` as a Parquet table in the shared folder, which goes at the end of the block.
+
+    Later stages read only the columns that they name, and no lineage remains.
+    Shuffle files behind ``df`` are let go before, if nothing else holds it.
+    """
     spark = df.sparkSession
     place = f"{_shared_folder(spark)}/table-{uuid.uuid4().hex}"
     df.write.parquet(place)
+    kept = df.schema
+    del df
+    spark._jvm.System.gc()
     try:
-        yield spark.read.parquet(place)
+        yield spark.read.schema(kept).parquet(place)
     finally:
         path = spark._jvm.org.apache.hadoop.fs.Path(place)
         path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
