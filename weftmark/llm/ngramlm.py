@@ -26,15 +26,16 @@ from pyspark.sql.pandas.types import to_arrow_type
 from weftmark.llm.textbytes import Words, cut, mix, pieces, written
 
 #: Tokens that a shard compares at each level; what agrees on more is compared on the next one. The last holds from there on.
-WINDOW = (4, 4, 8, 16, 64, 512, 4096)
+WINDOW = (3, 4, 8, 16, 64, 512, 4096)
 #: Weight of the word's share in the corpus against one occurrence of its context.
 ALPHA = 0.75
 #: Tokens that are shipped to a shard in windows, about; and words that a mapper gathers to a block before it ships them.
-SHARD, GATHER = 4_000_000, 1_500_000
+SHARD, GATHER = 4_000_000, 1_000_000
 #: A suffix that more than this part of a shard, and of the corpus, ends with isn't sent to one shard; longer ones are.
 HOT_SHARD, HOT_CORPUS = 1 / 4, 1 / (1 << 20)
-#: The most frequent words are shipped as 20-bit ranks; others by their hash.
+#: The most frequent words are shipped as 20-bit ranks; others by the 48 bits of their hash that tell words apart.
 RANKED = (1 << 20) - 1
+NAME = np.uint64((1 << 48) - 1)
 
 #: Parts of a bit in which a document's sums are rounded, so that those of equal ids add up alike in any order.
 UNIT = 1 << 16
@@ -54,7 +55,7 @@ def _word_counts(docs: DataFrame) -> DataFrame:
 
         for batch in batches:
             for _, raw, offsets in pieces(batch.column(1)):
-                h = Words(raw, offsets).hash
+                h = Words(raw, offsets).hash & NAME
                 held.append(h)
                 size += len(h)
                 if size >= GATHER:
@@ -277,7 +278,8 @@ def _ship(block: int, ids, bounds: np.ndarray, tokens: np.ndarray, window: int,
         rows["length"].append(_small(size_))
         rows["code"].append(_pack(coded))
         rows["bits"].append(_pack(bits))
-        rows["rare"].append(_pack(tokens[index][code[index] == RANKED]))
+        rare = tokens[index][code[index] == RANKED]
+        rows["rare"].append(_pack(np.concatenate([(rare >> np.uint64(16 * k)).astype("<u2") for k in range(3 if len(ranks) else 4)])))
     k = len(present)
     return pa.RecordBatch.from_arrays(
         [
@@ -301,7 +303,8 @@ def _search(table: pa.Table, window: int, hot: Hot, low: np.ndarray, counts: np.
         rare = code == RANKED
         w = np.empty(len(code), np.uint64)
         w[~rare] = low[code[~rare]]
-        w[rare] = _unpack(x["rare"], np.uint64)
+        for k, part in enumerate(_unpack(x["rare"], "<u2").reshape(-1, int(rare.sum())) if rare.any() else ()):
+            w[rare] = (w[rare] if k else np.uint64(0)) | part.astype(np.uint64) << np.uint64(16 * k)
         flat.append(w)
         own.append(code)
     length = np.concatenate([_numbers(x["length"]) for x in rows])
@@ -441,7 +444,7 @@ def _documents(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
     for batch in batches:
         for at, raw, offsets in pieces(batch.column(1)):
             w = Words(raw, offsets)
-            held.append((batch.column(0).slice(at, len(offsets) - 1).to_pylist(), np.diff(w.bounds), w.hash))
+            held.append((batch.column(0).slice(at, len(offsets) - 1).to_pylist(), np.diff(w.bounds), w.hash & NAME))
             size += len(w.hash)
             if size >= GATHER:
                 yield block()
@@ -556,7 +559,7 @@ def scores(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", alpha: f
     occurrences of w, and N all words. Where x is empty, p is c(w) / N. x has no
     greatest length, and counts are over all documents. mean_context is the mean
     length of x. Words are runs of letters, digits, _ and non-ASCII bytes, ASCII
-    case folded, told apart by a hash of 64 bits.
+    case folded, told apart by a hash of 48 bits.
 
     Levels and shards: see the module. ``shard``: tokens shipped to a shard, so
     their number follows the corpus. A suffix that too many positions end with
