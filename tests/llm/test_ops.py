@@ -56,7 +56,7 @@ def test_chunks(spark, docs, empty):
 
 def test_toxicity(docs, empty):
     assert toxicity.clause_score("oIo") == 1.0 and toxicity.clause_score("YoI") == 1.5 and toxicity.clause_score("NoI") == 0.25
-    assert toxicity.clause_score("RoI") == 0.4 and toxicity.clause_score("YT") == 2.0
+    assert toxicity.clause_score("RoI") == 0.4 and toxicity.clause_score("TY") == 2.0 and toxicity.clause_score("YPT") == 2.0 and toxicity.clause_score("YT") == 0.5
     got = {r.doc_id: r.score for r in toxicity.scores(docs).collect()}
     assert got == {19: 2.5, 20: 0.25} or set(got) == {19, 20}
     assert toxicity.reject(docs).count() == docs.count() - 1 and toxicity.reject(docs).columns == docs.columns

@@ -21,13 +21,25 @@ MAX_LABELLED = 4000
 #: Summed clause score from which a document is toxic.
 THRESHOLD = 1.0
 
-INSULT = "idiot idiots moron morons imbecile fool loser losers clown scum trash garbage vermin filth scumbag bastard bitch asshole dumbass retard stupid dumb worthless pathetic disgusting despicable idiotisch dumm dummkopf trottel abschaum wertlos widerlich depp arschloch idiote imbécile crétin connard salope minable pathétique dégoûtant ordure estúpido idiota imbécil basura escoria patético asqueroso inútil cabrón".split()
+INSULT = "idiot idiots moron morons imbecile fool loser losers clown scum trash scumbag bastard bitch asshole dumbass retard stupid worthless pathetic disgusting despicable idiotisch dummkopf trottel abschaum wertlos widerlich depp arschloch idiote imbécile crétin connard salope minable pathétique dégoûtant estúpido idiota imbécil escoria patético asqueroso inútil cabrón".split()
+#: Insults only where they are said of someone.
+WEAK = "garbage vermin filth dumb dumm ordure basura".split()
 THREAT = "kill murder strangle slaughter exterminate stab hang umbringen töten abstechen erschießen tuer égorger étrangler massacrer matar asesinar degollar".split()
-TARGET = "you your you're youre yourself he she they them him her his their du dich dir dein deine ihr euch sie vous votre toi ton il elle ils elles tú usted ustedes vosotros ellos ella".split()
-NEGATION = "not no never isn't isnt aren't arent wasn't wasnt don't dont nor without nicht kein keine nie niemals ohne ne pas jamais sans nunca jamás sin".split()
+#: Verbs that threaten only with a particle after the person: beat you up.
+PHRASAL = "beat hunt burn cut tear put mow".split()
+PARTICLE = "up down apart out".split()
+TARGET = "you you're youre yourself yourselves he she they them him himself herself themselves du dich dir ihr euch sie ihn ihm vous toi te il elle ils elles tú te usted ustedes vosotros ellos ella lo la".split()
+POSSESSIVE = "your his her their dein deine deinen seine votre vos ton ta tes tu tus su sus".split()
+PASSIVE = "be been being get gets werden wird être sera ser será".split()
+#: Words end at an apostrophe, so "isn't" is known by "isn".
+NEGATION = "not no never isn isnt aren arent wasn wasnt weren don dont doesn didn won wont wouldn shouldn couldn nor without nicht kein keine nie niemals ohne ne pas jamais sans nunca jamás sin".split()
 REPORT = "said says claimed claims wrote writes alleged alleges reported reports quoted quote quotes according called testified sagte schrieb behauptete zitierte laut dit écrit affirmé selon cita dijo escribió afirmó según".split()
+#: What one may kill or hang without harm to anyone.
+HARMLESS = "bacteria germs mold weeds virus viruses process processes job engine motor light lights noise pain appetite time coat coats jacket hat picture pictures poster posters curtain curtains laundry washing clothes wallpaper bakterien keime unkraut prozess zeit mantel jacke bild bilder wäsche bactéries germes processus temps manteau tableau linge bacterias gérmenes proceso tiempo abrigo cuadro ropa".split()
+#: piece of ..., waste of ...
+HEAD, OF, TAIL = "piece waste sack load stück bout".split(), "of de".split(), "shit crap dirt space oxygen breath scheiße merde mierda".split()
 
-# -- transducers: (state, symbol) -> (state, symbol, weight); start state 0 ---------------------------------------
+# transducers: (state, symbol) -> (state, symbol, weight); start state 0
 
 
 @dataclass
@@ -50,61 +62,131 @@ class Transducer:
         return out
 
 
+#: Classes of words: other, insult, weak insult, threat, phrasal verb, particle, target, possessive, passive, negation, report, harmless, head, of, tail.
+CLASSES = "oIJTKDYZPNRHWFX"
+#: What a clause consists of after ``_following``: a threat or insult with its target behind it, and a threat to what is harmless.
+MARKED = [*CLASSES, "I>", "J>", "T>", "t"]
+_HURTS = ("I", "I>", "I+", "J", "J>", "J+", "T", "T>")
+
+
+def _machine(symbols: list[str], start, step) -> Transducer:
+    """The transducer whose states are the values that ``step(state, symbol) -> (state, symbol, weight)`` reaches from ``start``."""
+    t, number, todo = Transducer(), {start: 0}, [start]
+    while todo:
+        state = todo.pop()
+        for s in symbols:
+            to, out, w = step(state, s)
+            if to not in number:
+                number[to] = len(number)
+                todo.append(to)
+            t.arcs[number[state], s] = (number[to], out, w)
+    return t
+
+
+def _following(scope: int = 3) -> Transducer:
+    """Read from the clause's end: a person up to ``scope`` words behind a threat or insult is its target; a harmless thing, also someone's, makes a threat none.
+
+    A phrasal verb is a threat if a person and a particle follow.
+    """
+
+    def step(state, s):
+        seen, left = state
+        after = (seen, left - 1) if left > 1 else ("", 0)
+        if s in "IJ":
+            return after, s + ">" if seen in ("Y", "YD") else s, 1.0
+        if s == "T":
+            return after, {"": "T", "D": "T", "H": "t"}.get(seen, "T>"), 1.0
+        if s == "K":
+            return after, "T>" if seen == "YD" else "K", 1.0
+        if s == "Y":
+            return ("YD" if seen == "D" and left == scope else "Y", scope), s, 1.0
+        if s == "Z":
+            return (after if seen == "H" else ("Y", scope)), s, 1.0
+        if s in "HD":
+            return (s, scope), s, 1.0
+        return after, s, 1.0
+
+    return _machine(list(CLASSES), ("", 0), step)
+
+
+def _phrases(scope: int = 2) -> Transducer:
+    """piece of (up to ``scope`` words) shit: an insult, whatever its last word is by itself."""
+
+    def step(state, s):
+        if s == "W":
+            return -1, s, 1.0
+        if s == "F" and state == -1:
+            return scope + 1, s, 1.0
+        if state > 0 and s in ("X", "J", "J>", "I"):
+            return 0, "I>" if s == "J>" else "I", 1.0
+        return max(state - 1, 0), s, 1.0
+
+    return _machine(MARKED, 0, step)
+
+
 def _negation(scope: int = 3) -> Transducer:
     """An insult or threat up to ``scope`` words after a negation keeps a quarter of its weight."""
-    t = Transducer()
-    for left in range(scope + 1):
-        for s in "oITYNR":
-            t.arcs[left, s] = (scope if s == "N" else max(left - 1, 0), s, 0.25 if left and s in "IT" else 1.0)
-    return t
+    return _machine(MARKED, 0, lambda left, s: (scope if s == "N" else max(left - 1, 0), s, 0.25 if left and s in _HURTS else 1.0))
 
 
 def _reported() -> Transducer:
     """After a verb of saying, insults and threats of the clause are someone's words: 0.4 of the weight."""
-    t = Transducer()
-    for on in (0, 1):
-        for s in "oITYNR":
-            t.arcs[on, s] = (1 if s == "R" else on, s, 0.4 if on and s in "IT" else 1.0)
-    return t
+    return _machine(MARKED, 0, lambda on, s: (1 if s == "R" else on, s, 0.4 if on and s in _HURTS else 1.0))
 
 
-def _target(scope: int = 4) -> Transducer:
-    """A person named up to ``scope`` words before: an insult counts half as much again, a threat is real."""
-    t = Transducer()
-    for left in range(scope + 1):
-        for s in "oITYNR":
-            t.arcs[left, s] = (scope if s == "Y" else max(left - 1, 0), s + "+" if left and s in "IT" else s, 1.0)
-    return t
+def _preceding(scope: int = 4) -> Transducer:
+    """A person up to ``scope`` words before an insult is its target; before a threat, if it is in the passive: you will be hanged."""
+
+    def step(state, s):
+        person, passive = state
+        after = (max(person - 1, 0), max(passive - 1, 0))
+        if s in ("I", "J"):
+            return after, s + "+" if person else s, 1.0
+        if s == "T":
+            return after, "T>" if passive else s, 1.0
+        if s in ("Y", "Z"):
+            return (scope, after[1]), s, 1.0
+        if s == "P" and person:
+            return (after[0], scope), s, 1.0
+        return after, s, 1.0
+
+    return _machine(MARKED, (0, 0), step)
 
 
 def _score() -> Transducer:
-    worth = {"I": 1.0, "I+": 1.5, "T": 0.5, "T+": 2.0}
-    t = Transducer()
-    for s in ["I", "I+", "T", "T+", *"oYNR"]:
-        t.arcs[0, s] = (0, "!" if s in worth else "", worth.get(s, 0.0))
-    return t
+    worth = {"I": 1.0, "I>": 1.5, "I+": 1.5, "J": 0.5, "J>": 1.5, "J+": 1.5, "T": 0.5, "T>": 2.0}
+    return _machine([*MARKED, "I+", "J+"], 0, lambda _, s: (0, "", worth.get(s, 0.0)))
 
 
 @lru_cache(1)
-def grammar() -> list[dict[str, tuple[int, float]]]:
-    """The composed grammar as one table: state -> class -> (state, score)."""
-    whole = _negation().compose(_reported()).compose(_target()).compose(_score())
+def grammar() -> tuple[list[dict[str, tuple[int, str]]], list[dict[str, tuple[int, float]]]]:
+    """(table read backwards, table read forwards): state -> class -> (state, symbol or score). The second is composed of all other transducers."""
+    back = _following()
+    marks: list[dict[str, tuple[int, str]]] = [{} for _ in range(1 + max(s for s, _ in back.arcs))]
+    for (state, symbol), (to, out, _) in back.arcs.items():
+        marks[state][symbol] = (to, out)
+    whole = _phrases().compose(_negation()).compose(_reported()).compose(_preceding()).compose(_score())
     table: list[dict[str, tuple[int, float]]] = [{} for _ in range(1 + max(s for s, _ in whole.arcs))]
     for (state, symbol), (to, _, weight) in whole.arcs.items():
         table[state][symbol] = (to, weight)
-    return table
+    return marks, table
 
 
 def clause_score(classes: str) -> float:
-    """The score of a clause given as one class letter a word: o other, I insult, T threat, Y target, N negation, R report."""
-    table, state, total = grammar(), 0, 0.0
-    for c in classes:
-        state, w = table[state][c]
+    """The score of a clause given as one letter of CLASSES a word."""
+    marks, table = grammar()
+    state, marked = 0, []
+    for c in reversed(classes):
+        state, m = marks[state][c]
+        marked.append(m)
+    state, total = 0, 0.0
+    for m in reversed(marked):
+        state, w = table[state][m]
         total += w
     return total
 
 
-# -- lexicon ------------------------------------------------------------------------------------------------------
+# words
 
 
 @dataclass(frozen=True)
@@ -115,7 +197,10 @@ class Lexicon:
     stems: tuple[tuple[str | None, str], ...] = ()
 
 
-BASE = Lexicon(tuple((w, c) for c, ws in (("N", NEGATION), ("R", REPORT), ("Y", TARGET), ("T", THREAT), ("I", INSULT)) for w in ws))
+_WORDS = (
+    ("F", OF), ("W", HEAD), ("D", PARTICLE), ("P", PASSIVE), ("H", HARMLESS), ("Z", POSSESSIVE), ("Y", TARGET), ("N", NEGATION), ("R", REPORT), ("X", TAIL), ("K", PHRASAL), ("J", WEAK), ("T", THREAT), ("I", INSULT),
+)
+BASE = Lexicon(tuple((w, c) for c, ws in _WORDS for w in ws))
 
 
 def _clusters(texts: list[str], common: set[str]) -> list[int]:
@@ -142,7 +227,7 @@ def learn(rows: list[tuple[str | None, str, int]], least: int = 3, share: float
     in ``impurity`` clean texts at most. Of stems that cover the same texts the
     longest is taken, and none that another one covers.
     """
-    known = {w for w, c in BASE.words if c in "IT"}
+    known = {w for w, c in BASE.words if c in "IJTKX"}
     stems: list[tuple[str | None, str]] = []
     by_lang: dict[str | None, tuple[list[str], list[str]]] = defaultdict(lambda: ([], []))
     for lang, text, toxic in rows:
@@ -191,8 +276,10 @@ def learn_from(docs: DataFrame, labels: DataFrame | None, max_labelled: int = MA
     return learn(sorted({(r.l, r.t, r._toxic) for r in rows}, key=str))
 
 
-# -- scoring ------------------------------------------------------------------------------------------------------
+# scoring
 
+_HURTING = np.zeros(256, bool)
+_HURTING[[ord(c) for c in "IJTKX"]] = True
 _BREAK = np.zeros(256, bool)
 _BREAK[[ord(c) for c in ".!?;:\n\r"]] = True
 
@@ -233,7 +320,7 @@ def score_column(column: pa.Array, langs: pa.Array, lexicon: Lexicon) -> Iterato
                     lang = langs[at + int(owner[w])].as_py()
                     if lang is None or None in who[k] or lang in who[k]:
                         kind[w] = ord("I")
-        bad = np.flatnonzero((kind == ord("I")) | (kind == ord("T")))
+        bad = np.flatnonzero(_HURTING[kind])
         if not len(bad):
             continue
         breaks = np.union1d(np.flatnonzero(_BREAK[raw]), offsets[:-1])
@@ -243,7 +330,8 @@ def score_column(column: pa.Array, langs: pa.Array, lexicon: Lexicon) -> Iterato
         letters = kind.tobytes().decode()
         for c, t in dict.fromkeys(zip(clause[bad].tolist(), texts.tolist(), strict=True)):
             a, b = max(int(np.searchsorted(clause, c)), int(words.bounds[t])), min(int(np.searchsorted(clause, c, "right")), int(words.bounds[t + 1]))
-            out.setdefault(t, []).append((clause_score(letters[a:b]), int(words.start[a] - offsets[t]), int(words.end[b - 1] - offsets[t])))
+            if score := clause_score(letters[a:b]):
+                out.setdefault(t, []).append((score, int(words.start[a] - offsets[t]), int(words.end[b - 1] - offsets[t])))
         for t, found in out.items():
             yield at + t, found
 
@@ -251,15 +339,21 @@ def score_column(column: pa.Array, langs: pa.Array, lexicon: Lexicon) -> Iterato
 def scores(docs: DataFrame, lexicon: Lexicon = BASE, doc_id: str = "doc_id", text: str = "text", lang: str | None = "lang") -> DataFrame:
     """The documents with any scored clause: doc_id, score, clauses.
 
-    Words become classes by the lexicon. In each clause (up to . ! ? ; : or a
-    line's end), one transducer, composed of those for negation, reported
-    speech, targets and weights, reads the classes; score is the sum over all
-    clauses of a text. An insult counts 1, with a target just before it 1.5; a
-    threat 0.5 and 2; a quarter after a negation, 0.4 after a verb of saying.
-
-    Null and empty texts score nothing and have no row. Repeated rows give
-    repeated results; null ids are kept; other columns are left out. A null
-    language, or no such column, admits the stems of all languages.
+    Words become classes by the lexicon. Each clause (up to . ! ? ; : or a
+    line's end) is read twice: backwards by a transducer that gives insults and
+    threats the target or the harmless thing behind them, and forwards by one
+    that is composed of those for phrases, negation, reported speech, targets
+    before and weights. score is the sum over all clauses of a text. An insult
+    counts 1, with a target on either side 1.5, a weak one 0.5 without; a threat
+    to someone 2, to no one named 0.5, to a harmless thing 0; a quarter after a
+    negation, 0.4 after a verb of saying.
+
+    Null and empty texts score nothing and have no row, nor have texts in which
+    every clause scores 0. Where two readings of a word tie, an insult goes before a
+    threat, that before all others. Repeated rows give repeated results; null ids
+    are kept, of any type; other columns are left out; an empty table gives no
+    rows. Texts of any length are read whole. A null language, or no such column,
+    admits the stems of all languages.
     """
     language = F.col(lang) if lang and lang in docs.columns else F.lit(None).cast("string")
     rows = docs.select(F.col(doc_id).alias("_key"), F.col(text).alias("_text"), language.alias("_lang"))
@@ -277,7 +371,11 @@ def scores(docs: DataFrame, lexicon: Lexicon = BASE, doc_id: str = "doc_id", tex
 
 
 def reject(docs: DataFrame, lexicon: Lexicon = BASE, threshold: float = THRESHOLD, text: str = "text", lang: str | None = "lang") -> DataFrame:
-    """The documents that score less than ``threshold``, with all their columns; null and empty texts stay."""
+    """The documents that score less than ``threshold``, with all their columns.
+
+    Null and empty texts stay, as do null ids; repeated rows are judged alike, so
+    all stay or go; an empty table gives none. Columns may have any names.
+    """
 
     where, language = docs.columns.index(text), docs.columns.index(lang) if lang and lang in docs.columns else None
 
