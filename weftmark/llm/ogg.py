@@ -5,11 +5,12 @@ from __future__ import annotations
 import hashlib
 import struct
 import zlib
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegralType
 
 _MIRROR = bytes(int(f"{i:08b}"[::-1], 2) for i in range(256))
 _HEAD = struct.Struct("<4sBBqIIIB")
@@ -147,33 +148,61 @@ def demux(data: bytes) -> list[dict]:
 _STREAM = "array<struct<serial:bigint,codec:string,pages:int,lost_pages:int,skipped_bytes:bigint,packets:int,broken_packets:int,payload_bytes:bigint,payload_md5:string,first_granule:bigint,last_granule:bigint,start_s:double,end_s:double>>"
 
 
-def _summary(s: dict, rates: dict[str, int]) -> dict:
-    head, body = (s["packets"][0], s["packets"][1:]) if s["packets"] else (b"", [])
+def identify(head: bytes, rates: dict[str, int] = RATES) -> tuple[str | None, int, Callable[[int], float] | None]:
+    """(codec, header packets, seconds of a granule position) of a stream by its first packet.
+
+    Vorbis, Opus, FLAC, Speex and Theora say their rates in that packet; others
+    are called by its text, and ``rates`` may have one for it.
+    """
+    if head[:7] == b"\x01vorbis" and len(head) >= 16:
+        rate = int.from_bytes(head[12:16], "little")
+        return "vorbis", 3, (lambda g: g / rate) if rate else None
+    if head[:8] == b"OpusHead" and len(head) >= 12:
+        skip = int.from_bytes(head[10:12], "little")  # samples to drop at the start; positions always count 48 kHz
+        return "opus", 2, lambda g: max(g - skip, 0) / 48000
+    if head[:5] == b"\x7fFLAC" and len(head) >= 30:
+        rate = int.from_bytes(head[27:30], "big") >> 4
+        return "flac", 1 + int.from_bytes(head[7:9], "big"), (lambda g: g / rate) if rate else None
+    if head[:8] == b"Speex   " and len(head) >= 40:
+        rate = int.from_bytes(head[36:40], "little")
+        return "speex", 2 + (int.from_bytes(head[68:72], "little") if len(head) >= 72 else 0), (lambda g: g / rate) if rate else None
+    if head[:7] == b"\x80theora" and len(head) >= 42:
+        top, bottom, shift = int.from_bytes(head[22:26], "big"), int.from_bytes(head[26:30], "big"), (int.from_bytes(head[40:42], "big") >> 5) & 31
+        # a position is the last key frame and the frames since
+        return "theora", 3, (lambda g: ((g >> shift) + (g & ((1 << shift) - 1))) * bottom / top) if top else None
     codec = head.decode("latin-1") or None
-    marks = [g for g in s["granules"][1:] if g >= 0]
     rate = rates.get(codec or "")
+    return codec, 1, (lambda g: g / rate) if rate else None
+
+
+def _summary(s: dict, rates: dict[str, int]) -> dict:
+    codec, headers, seconds = identify(s["packets"][0] if s["packets"] else b"", rates)
+    body = s["packets"][headers:]
+    marks = [g for g in s["granules"][headers:] if g >= 0]
     payload = b"\n".join(body)
     return {
         "serial": s["serial"], "codec": codec, "pages": s["pages"], "lost_pages": s["lost_pages"], "skipped_bytes": s["skipped"], "packets": len(body),
         "broken_packets": s["broken"], "payload_bytes": sum(map(len, body)), "payload_md5": hashlib.md5(payload).hexdigest(),
         "first_granule": marks[0] if marks else None, "last_granule": marks[-1] if marks else None,
-        "start_s": marks[0] / rate if marks and rate else None, "end_s": marks[-1] / rate if marks and rate else None,
+        "start_s": seconds(marks[0]) if marks and seconds else None, "end_s": seconds(marks[-1]) if marks and seconds else None,
     }
 
 
 def streams(media: DataFrame, key: str = "doc_id", column: str = "media", rates: dict[str, int] = RATES) -> DataFrame:
     """One row for each logical stream of each Ogg file in a binary column.
 
-    Columns: the key, serial, codec (the header packet's text), pages,
-    lost_pages, skipped_bytes (of the file, outside good pages), packets (without
-    the header), broken_packets, payload_bytes, payload_md5 (of the packets
+    Columns: the key, serial, codec (see ``identify``), pages, lost_pages,
+    skipped_bytes (of the file, outside good pages), packets (without the
+    codec's headers), broken_packets, payload_bytes, payload_md5 (of the packets
     joined by line feeds), the granule positions of the first and last packet
-    that have one, and these in seconds by the codec's rate.
+    that have one, and these in seconds as the codec counts them.
 
     Null, empty and non-Ogg values have no streams and give no rows. Repeated
     rows give repeated results; null keys are kept; other columns are left out.
     Granules are known only for the last packet that ends on a page, as the
-    format has it; times are null for a codec without a rate.
+    format has it; times are null for a codec without a rate. Files and packets of
+    any length are read whole; streams of equal serial in one file are told apart
+    by their beginnings; an empty table gives no rows. Keys may be of any type.
     """
 
     @F.pandas_udf(_STREAM)
@@ -184,13 +213,17 @@ def streams(media: DataFrame, key: str = "doc_id", column: str = "media", rates:
 
 
 def text_media(docs: DataFrame, key: str = "doc_id", text: str = "text", about: str = "lang") -> DataFrame:
-    """(key, media): each text as an Ogg file by mux_text; the serial number is derived from the key, 0 for null."""
+    """(key, media): each text as an Ogg file by mux_text; the serial number is derived from the key, of any type, and is 0 for null.
+
+    Null texts give null, empty ones a file of one empty line; repeated rows give repeated files.
+    """
 
     @F.pandas_udf("binary")
     def write(texts: pd.Series, serials: pd.Series, abouts: pd.Series) -> pd.Series:
         return pd.Series([mux_text(t, int(s), a or "") for t, s, a in zip(texts, serials, abouts, strict=True)], dtype=object)
 
-    serial = F.coalesce(F.pmod(F.col(key), F.lit(1 << 31)), F.lit(0)).cast("bigint")
+    number = F.col(key) if isinstance(docs.schema[key].dataType, IntegralType) else F.when(F.col(key).isNotNull(), F.xxhash64(key))
+    serial = F.coalesce(F.pmod(number.cast("bigint"), F.lit(1 << 31)), F.lit(0)).cast("bigint")
     return docs.select(F.col(key).alias(key), write(F.col(text), serial, F.col(about)).alias("media"))
 
 
