@@ -6,11 +6,21 @@ from collections.abc import Mapping
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import NumericType
 
 #: Expected copies are whole numbers of millionths, so prefix sums are exact in any order.
 MICRO = 1_000_000
 #: Consecutive ids that share one step of the prefix sum; bounds the rows that a window sorts together.
 BLOCK = 4096
+#: The same for string ids: the characters that they share.
+PREFIX = 6
+
+
+def _block(docs: DataFrame, doc_id: str) -> Column:
+    """Never smaller for a greater id: ids by BLOCK, strings by their first characters."""
+    if isinstance(docs.schema[doc_id].dataType, NumericType):
+        return F.floor(F.col(doc_id) / F.lit(BLOCK)).cast("bigint")
+    return F.substring(F.col(doc_id).cast("string"), 1, PREFIX)
 
 
 def _weight(source: Column, weights: Mapping[str, int] | None, default: int) -> Column:
@@ -55,11 +65,12 @@ def sample(docs: DataFrame, weights: Mapping[str, int] | None = None, default_we
     their own; rows with one id lie in the order of a hash of text. Null and
     empty texts count nothing to the size of the source but are drawn like the
     others; a source with no text at all yields nothing, as does an empty table.
+    Ids are numbers or strings. Texts of any length count whole.
     """
     rates = expected_copies(docs, weights, default_weight, seed, text, source)
     rows = docs.select(F.struct("*").alias("_row"), F.col(source).alias("_source"), F.col(doc_id).alias("_id"), F.xxhash64(F.col(text)).alias("_tie"))
-    rows = rows.withColumn("_block", F.floor(F.col("_id") / F.lit(BLOCK)).cast("bigint"))
-    blocks = docs.groupBy(F.col(source).alias("_source"), F.floor(F.col(doc_id) / F.lit(BLOCK)).cast("bigint").alias("_block")).agg(F.count("*").alias("_n"))
+    rows = rows.withColumn("_block", _block(rows, "_id"))
+    blocks = docs.groupBy(F.col(source).alias("_source"), _block(docs, doc_id).alias("_block")).agg(F.count("*").alias("_n"))
     before = F.coalesce(F.sum("_n").over(Window.partitionBy("_source").orderBy(F.col("_block").asc_nulls_first()).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     blocks = blocks.withColumn("_before", before).join(rates.withColumnRenamed("source", "_s"), F.col("_source").eqNullSafe(F.col("_s"))).where("micro > 0").select(F.col("_source").alias("_bs"), F.col("_block").alias("_bb"), "_before", "micro", "offset")
     within = F.row_number().over(Window.partitionBy("_source", "_block").orderBy("_id", "_tie")) - 1
