@@ -64,6 +64,8 @@ def train(samples: dict[str, list[bytes]], order: int = ORDER, least: int = LEAS
     ``least`` times in all languages together; a language without a node of the
     tree goes on with the shorter context at no cost.
     """
+    if not 0 <= order <= 7:
+        raise ValueError("order must be within 0 and 7, as a context and its successor are counted in 8 bytes")
     languages = tuple(sorted(samples))
     counts = [_counts(samples[x], order) for x in languages]
     used = np.unique(np.frombuffer(b"".join(t for ts in samples.values() for t in ts), np.uint8)) if any(map(len, samples.values())) else np.zeros(0, np.uint8)
