@@ -39,6 +39,9 @@ RULES = (
     ),
 )
 
+#: Unseen blobs whose hashes are broadcast, at most: some 10 MB of them.
+FEW = 50_000
+
 FINDING = "array<struct<rule:string,occurrence:int,secret:string>>"
 
 
@@ -73,33 +76,40 @@ def scan(versions: DataFrame, ledger: DataFrame | None = None, rules: tuple[Rule
     a clean blob. Only pairs of a blob and a rule version that it lacks are
     scanned; equal blobs are scanned once, however many paths hold them.
 
+    With a ledger, hashes alone decide what is unseen, and only texts with an
+    unseen pair are moved: if these are FEW, their hashes are broadcast and all
+    other texts stay where they are read. Without one all texts are.
+
     Returns findings (the path columns, blob, rule_id, rule_version, occurrence,
     secret: one row a match and path, of the given rules) and the next ledger,
-    which keeps blobs that no version holds any more.
-
-    Null texts are no blobs and yield nothing; the empty text is a clean blob.
-    Repeated rows yield one finding each, null paths are kept, and other columns
-    of ``versions`` are left out, whatever their names. Empty tables give empty
-    results.
+    which keeps blobs that no version holds any more. Matches of one rule don't
+    overlap and are numbered from the text's start; those of two rules may lie at
+    one place and are both reported.
+
+    Null texts are no blobs and yield nothing; the empty text is a clean blob;
+    texts of any length are scanned whole. Repeated rows yield one finding each,
+    null paths are kept, and other columns of ``versions`` are left out,
+    whatever their names. Empty tables, also an empty ledger, give empty results.
     """
     keys = [r.key for r in rules]
-    held = versions.where(F.col(text).isNotNull()).select(*[F.col(p).alias(f"_p{i}") for i, p in enumerate(path)], F.sha2(text, 256).alias("blob"), F.col(text).alias("_text"))
-    blobs = held.groupBy("blob").agg(F.first("_text").alias("_text"))
+    all_keys = F.array(*map(F.lit, keys)).cast("array<string>")
+    held = versions.where(F.col(text).isNotNull())
+    names = [F.col(p).alias(f"_p{i}") for i, p in enumerate(path)]
+    texts = held.select(F.sha2(text, 256).alias("blob"), F.col(text).alias("_text"))
     if ledger is None:
-        new = blobs.select("blob", F.array(*map(F.lit, keys)).alias("scanned"), _hits(rules, "_text", lambda r: F.lit(True)).alias("hits"))
-        merged = new
+        merged = texts.groupBy("blob").agg(F.first("_text").alias("_text")).select("blob", all_keys.alias("scanned"), _hits(rules, "_text", lambda r: F.lit(True)).alias("hits"))
     else:
         old = ledger.select("blob", F.col("scanned").alias("_scanned"), F.col("hits").alias("_old"))
-        none = F.array().cast("array<string>")
-        joined = blobs.join(old, "blob", "full_outer").withColumn("_seen", F.coalesce("_scanned", none))
-        missing = lambda r: F.col("_text").isNotNull() & ~F.array_contains("_seen", r.key)
-        merged = joined.select(
-            "blob",
-            F.when(F.col("_text").isNull(), F.col("_seen")).otherwise(F.array_union("_seen", F.array(*map(F.lit, keys)))).alias("scanned"),
-            F.concat(F.coalesce("_old", F.array().cast(FINDING)), F.coalesce(_hits(rules, "_text", missing), F.array().cast(FINDING))).alias("hits"),
-        )
+        none, clean = F.array().cast("array<string>"), F.array().cast(FINDING)
+        known = old.select("blob", F.col("_scanned"))
+        unseen = texts.select("blob").distinct().join(known, "blob", "left").select("blob", F.array_except(all_keys, F.coalesce("_scanned", none)).alias("_missing")).where(F.size("_missing") > 0)
+        if unseen.limit(FEW + 1).count() <= FEW:
+            unseen = F.broadcast(unseen)
+        fresh = texts.join(unseen, "blob").groupBy("blob").agg(F.first("_text").alias("_text"), F.first("_missing").alias("_missing"))
+        fresh = fresh.select("blob", "_missing", _hits(rules, "_text", lambda r: F.array_contains("_missing", r.key)).alias("_new"))
+        merged = old.join(fresh, "blob", "full_outer").select("blob", F.concat(F.coalesce("_scanned", none), F.coalesce("_missing", none)).alias("scanned"), F.concat(F.coalesce("_old", clean), F.coalesce("_new", clean)).alias("hits"))
     found = merged.where(F.size("hits") > 0).select("blob", F.explode("hits").alias("_h")).where(F.col("_h.rule").isin(keys))
-    paths = held.select("blob", *[f"_p{i}" for i in range(len(path))])
+    paths = held.select(F.sha2(text, 256).alias("blob"), *names)
     findings = paths.join(found, "blob").select(
         *[F.col(f"_p{i}").alias(p) for i, p in enumerate(path)],
         "blob",
