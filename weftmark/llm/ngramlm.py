@@ -159,6 +159,20 @@ def _join(group: np.ndarray, words: np.ndarray) -> np.ndarray:
         return mix(group.astype(np.uint64) * _K ^ words)
 
 
+def _counts(a: np.ndarray) -> bytes:
+    """Packed numbers of which few reach 255."""
+    large = a[a >= 255]
+    low = _pack(np.minimum(a, 255).astype(np.uint8))
+    return len(low).to_bytes(4, "little") + low + _small(large)
+
+
+def _counted(b: bytes) -> np.ndarray:
+    n = int.from_bytes(b[:4], "little")
+    out = _unpack(b[4 : 4 + n], np.uint8).astype(np.int64)
+    out[out == 255] = _numbers(b[4 + n :])
+    return out
+
+
 def _same(keys: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(which values are among the sorted keys, where)."""
     if not len(keys):
@@ -207,7 +221,7 @@ def matches(flat: np.ndarray, offset: np.ndarray, length: np.ndarray, size: np.n
     bucket, a token deeper wherever a bucket holds more than one; a bucket is the
     range of a suffix in the array, and its size the count. r is the longest suffix
     of ``window`` tokens at most that others have, c how many others, alike how
-    many positions end with the same token (of those whose ``size`` is 1). linked:
+    many positions end with the same token. linked:
     r is the window, and all positions that share it have one token before it.
     name: a number of the shared window, within the shard; HOT_NAME and more
     within all shards; 0 for r below the window.
@@ -219,6 +233,7 @@ def matches(flat: np.ndarray, offset: np.ndarray, length: np.ndarray, size: np.n
             own = np.flatnonzero(size == m)
             if len(own):
                 gram = mix(flat[offset[own]] + np.uint64(1))
+                alike[own] = hot[0][1][_same(hot[0][0], gram)[1]]
                 for k in range(1, m - 1):
                     gram = _grow(gram, flat[offset[own] + k])
                 at = _same(hot[m - 2][0], gram)[1]
@@ -231,7 +246,7 @@ def matches(flat: np.ndarray, offset: np.ndarray, length: np.ndarray, size: np.n
             group, sizes = _groups(_join(group, flat[offset[active] + depth - 1]))
             count = sizes[group]
             if depth == 1:
-                alike[:] = count
+                alike[size == 1] = count[size == 1]
             if depth == window + 1:
                 linked[active] = count == c[active] + 1
                 break
@@ -320,7 +335,7 @@ def _search(table: pa.Table, window: int, hot: Hot, low: np.ndarray, counts: np.
         n = len(_numbers(x["size"]))
         mine = slice(at, at + n)
         out[0].append(_small(r[mine]))
-        out[1].append(_small(c[mine]))
+        out[1].append(_counts(c[mine][r[mine] > 1]))  # a suffix of one word: c is alike less one
         out[2].append(_pack(np.packbits(linked[mine])))
         out[3].append(_small(alike[mine]))
         out[4].append(_small(name[mine][r[mine] == window]))
@@ -351,7 +366,9 @@ def _settle(table: pa.Table, window: int, deeper: int, last: bool, total: int, a
     linked, name = np.zeros(n, bool), np.zeros(n, np.uint64)
     for x in found:
         pos = np.cumsum(_numbers(x["pos"]))
-        r[pos], c[pos], alike[pos] = _numbers(x["r"]), _numbers(x["c"]), _numbers(x["alike"])
+        r[pos], alike[pos] = _numbers(x["r"]), _numbers(x["alike"])
+        c[pos] = np.where(r[pos] == 1, alike[pos] - 1, 0)
+        c[pos[r[pos] > 1]] = _counted(x["c"])
         linked[pos] = np.unpackbits(_unpack(x["linked"], np.uint8), count=len(pos))
         number = _numbers(x["name"])
         name[pos[r[pos] == window]] = np.where(number < HOT_NAME, number + ((x["shard"] + 1) << 32), number)  # not hashed: these pack well

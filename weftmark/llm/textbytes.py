@@ -7,8 +7,10 @@ Nulls are read as empty texts.
 
 from __future__ import annotations
 
+import gc
 import os
 import tempfile
+import time
 import uuid
 from collections.abc import Callable, Iterator
 from contextlib import contextmanager
@@ -184,6 +186,14 @@ def _shared_folder(spark: SparkSession) -> str:
     return os.path.join(tempfile.gettempdir(), "weftmark-checkpoints")
 
 
+def release(spark: SparkSession) -> None:
+    """Lets Spark drop the shuffle files of tables that nothing refers to any more; else they stay until the driver happens to collect its garbage."""
+    for _ in range(2):
+        gc.collect()
+        spark._jvm.System.gc()
+        time.sleep(0.2)
+
+
 @contextmanager
 def written(df: DataFrame) -> Iterator[DataFrame]:
     """``df`` as a Parquet table in the shared folder, which goes at the end of the block.
@@ -193,10 +203,11 @@ def written(df: DataFrame) -> Iterator[DataFrame]:
     """
     spark = df.sparkSession
     place = f"{_shared_folder(spark)}/table-{uuid.uuid4().hex}"
+    release(spark)
     df.write.parquet(place)
     kept = df.schema
     del df
-    spark._jvm.System.gc()
+    release(spark)
     try:
         yield spark.read.schema(kept).parquet(place)
     finally:
