@@ -58,4 +58,4 @@ def op10_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (op1_secret_scan, op2_substring_dedup, op3_toxicity, op4_ogg_streams, op5_language_id, op6_decontaminate, op7_token_ids, op8_ngram_scores, op9_jaccard_join, op10_mix_sources)}
 
-ORACLES = {"op1_secret_scan": secrets.scan_sql(), "op4_ogg_streams": ogg.streams_sql(), "op10_mix_sources": mixing.sample_sql()}
+ORACLES = {"op1_secret_scan": secrets.scan_sql(), "op4_ogg_streams": ogg.streams_sql(), "op9_jaccard_join": jaccard.pairs_sql(), "op10_mix_sources": mixing.sample_sql()}
