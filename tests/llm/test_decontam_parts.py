@@ -42,3 +42,47 @@ def test_item_matches_against_each_item_alone():
         got = decontam.SuffixAutomaton(lists).item_matches(text, 2)
         want = {(a, b, k, place) for k, x in enumerate(lists) for a, b, _, place in decontam.SuffixAutomaton([x]).matches(text, 2)}
         assert set(got) == want and len(got) == len(want)
+
+
+def _brute(text, items, most, least, coverage):
+    """Places of the tokens to cut, by comparing every pair of places."""
+    marked, covered = {}, {}
+    found = []  # (begin, end, item, place) of the longest matches with each item that can't be prolonged
+    for k, x in enumerate(items):
+        best = {}  # end -> (size, place), the longest match with the item that ends there, the first place of it
+        for e in range(1, len(text) + 1):
+            for size in range(min(e, len(x)), 0, -1):
+                at = next((p for p in range(len(x) - size + 1) if x[p : p + size] == text[e - size : e]), None)
+                if at is not None:
+                    best[e] = (size, at)
+                    break
+        found += [(e - n, e, k, p) for e, (n, p) in best.items() if n >= least and not (e + 1 in best and best[e + 1][0] == n + 1)]
+    chosen = [m for m in found if m[1] - m[0] >= most]
+    if len({i for a, b, *_ in found for i in range(a, b)}) > coverage * len(text):
+        chosen += found
+    for k, x in enumerate(items):
+        own = [m for m in found if m[2] == k]
+        if len({p + j for a, b, _, p in own for j in range(b - a)}) > coverage * len(x):
+            chosen += own
+    return {i for a, b, *_ in chosen for i in range(a, b)}
+
+
+def test_cuts_against_brute_force(spark):
+    r = random.Random(13)
+    items = [[f"i{r.randrange(9)}" for _ in range(r.randrange(3, 16))] for _ in range(6)]
+    docs = []
+    for _ in range(120):
+        d = []
+        while len(d) < 25:
+            x = r.choice(items)
+            a = r.randrange(len(x))
+            d += x[a : a + r.randrange(1, 12)] if r.random() < 0.5 else [f"z{r.randrange(99)}" for _ in range(r.randrange(6))]
+        docs.append(d)
+    frame = spark.createDataFrame([(str(i), " ".join(d)) for i, d in enumerate(docs)], "doc_id string, text string")
+    table = spark.createDataFrame([(i, " ".join(x)) for i, x in enumerate(items)], "item_id int, text string")
+    for most, least, coverage in ((10, 5, 0.5), (4, 2, 0.8), (6, 3, 0.3)):
+        got = {x.doc_id: x for x in decontam.contamination(frame, table, most, least, coverage).collect()}
+        for i, d in enumerate(docs):
+            want = _brute(d, items, most, least, coverage)
+            left = got[str(i)].clean_text.split() if str(i) in got else d
+            assert left == [w for j, w in enumerate(d) if j not in want], (i, most)
