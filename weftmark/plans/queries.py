@@ -32,6 +32,49 @@ def _parsed(spark, d, options: Options = WORDS) -> DataFrame:
     return parse(_docs(spark, d), options, with_picks=False)
 
 
+def _code_text() -> str:
+    """Made-up code from a document's columns, as SQL of both engines: strings, raw and triple-quoted ones, comments, numbers, operators."""
+    t = "repeat(chr(34), 3)"
+    q, b, n, i = "chr(39)", "chr(92)", "chr(10)", "cast(doc_id as string)"
+    one = f"""'static const char* s' || {i} || ' = "a' || {b} || '"b' || {n} || source || '"; // it' || {q} || 's ' || lang || {n}"""
+    two = f"""'auto r = R"x(raw " ' || {q} || ' )" ' || source || ')x" + ((a + b) * c' || {i} || '); '"""
+    three = f"""'/* block " */ if ((x <<= 0x1F) && y->z != 1e+5 || !w) {{ ++n; f(::g, 1' || {q} || '000u, .5e-3f); }} '"""
+    four = f"""'for (auto&& [k, v] : m) {{ out ^= k | v & ~' || cast(n_chars as string) || '; }} #define Z(a) a##_t ... @Over @int x >>>= $y ?? z?.w === 2 ** 3 ' || {n}"""
+    five = f"""'x = rb' || {q} || 'a' || {q} || ' + f' || {t} || 'doc ' || {n} || ' ""x ' || lang || {t} || ' # c' || {n} || 'def g(u): return u // 2 `a$' || '{{b}}` ' || {n}"""
+    six = f"""'char p = ' || {q} || {b} || {q} || {q} || '; template<typename T> T g(T t) {{ return ((t)); }} é ' || {n}"""
+    last = f"""'open " ' || {i}"""
+    return f"case doc_id % 3 when 0 then {one} || {two} || {three} when 1 then {four} || {five} || {one} else {six} || {four} || {two} end || {three} || {six} || case doc_id % 4 when 0 then {last} else '' end"
+
+
+def _code(spark, d) -> DataFrame:
+    return spark.read.parquet(f"{d}/documents.parquet").select("doc_id", F.expr(_code_text()).alias("text"))
+
+
+def lex_code(spark, d):
+    return tokenize(_code(spark, d))
+
+
+def lex_code_python(spark, d):
+    return tokenize(_code(spark, d), "python")
+
+
+def lex_code_java(spark, d):
+    return tokenize(_code(spark, d), "java")
+
+
+def lex_code_javascript(spark, d):
+    return tokenize(_code(spark, d), "javascript")
+
+
+def parsed_code(spark, d):
+    return parse(_code(spark, d), NORMALIZED, with_picks=False).select("doc_id", "tokens", "kgrams", "fingerprints", "parens_collapsed")
+
+
+def code_matches(spark, d):
+    """The 50 most similar pairs of the made-up code, as an analysis scores them."""
+    return pr.select_matches(pr.compare_indexed(parse(_code(spark, d), NORMALIZED, with_picks=False)), 0.0, 50)
+
+
 def lex_tokens(spark, d):
     return tokenize(_docs(spark, d))
 
@@ -158,7 +201,7 @@ def synthetic_corpus(spark, d):
 QUERIES = {f.__name__: f for f in (
     lex_tokens, lex_token_histogram, paren_normalize, fnv_symbol, kgram_hashes, winnow_picks, fingerprint_sets, parsed_sources, doc_profile, inverted_index, candidate_pairs, jaccard_indexed, jaccard_exhaustive,
     two_doc_compare, similarity_summary, threshold_matches, top_n_matches, severity_buckets, matched_fragments, merged_fragments, highlight_segments, similarity_matrix, text_functions, extension_filter,
-    lex_python, lex_java, lex_javascript, synthetic_corpus,
+    lex_python, lex_java, lex_javascript, synthetic_corpus, lex_code, lex_code_python, lex_code_java, lex_code_javascript, parsed_code, code_matches,
 )}
 
 
@@ -171,7 +214,9 @@ def _list(words) -> str:
 
 
 _CPP = LEXERS["cpp"]
-_RE2 = "|".join([r"[ \t\n\x0B\f\r]+", r"//[^\n]*", r"/\*(?s:.*?)(?:\*/|\z)", r'"[^"\\]*(?:\\(?s:.)[^"\\]*)*(?:"|\\?\z)', r"'[^'\\]*(?:\\(?s:.)[^'\\]*)*(?:'|\\?\z)", r"(?:[0-9]|\.[0-9])(?:[eEpP][+\-]|[A-Za-z0-9_.'])*", r"[A-Za-z_][A-Za-z0-9_]*", *_CPP.parts[-2:]])
+#: RE2 has no back-references; the only delimiter of raw strings in the made-up code is x, and prose has none.
+_RE2 = "|".join([r"[ \t\n\x0B\f\r]+", r"//[^\n]*", r"/\*(?s:.*?)(?:\*/|\z)", r'R"x\((?s:.*?)\)x"', r'"[^"\\]*(?:\\(?s:.)[^"\\]*)*(?:"|\\?\z)', r"'[^'\\]*(?:\\(?s:.)[^'\\]*)*(?:'|\\?\z)", r"(?:[0-9]|\.[0-9])(?:[eEpP][+\-]|[A-Za-z0-9_.'])*", r"[A-Za-z_][A-Za-z0-9_]*", *_CPP.parts[-2:]])
+_CODE_CORPUS = f"corpus as (select doc_id, {_code_text()} as body, source from documents)"
 _CORPUS = "corpus as (select doc_id, text as body, source from documents)"
 
 
@@ -185,7 +230,7 @@ bytewise as (select doc_id, idx, {token} as text, "offset", length::bigint as le
 tok as materialized (select doc_id, row_number() over (partition by doc_id order by "offset") - 1 as pos, text, "offset", length from bytewise)"""
 
 
-_CPP_TOKEN = f"""case when piece in ({_list(_CPP.types)}) then 'T' when piece in ({_list(_CPP.keywords)}) then piece when piece[1] in ('"', '''') then 'L'
+_CPP_TOKEN = f"""case when piece in ({_list(_CPP.types)}) then 'T' when piece in ({_list(_CPP.keywords)}) then piece when piece[1] in ('"', '''') or piece[1:2] = 'R"' then 'L'
  when regexp_matches(piece, '^([0-9]|\\.[0-9])') then 'N' when regexp_matches(piece, '^[A-Za-z_]') then 'V' else piece end"""
 
 
@@ -263,6 +308,10 @@ _HTML = "h"
 for _a, _b in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), ('"', "&quot;"), ("'", "&#39;")):
     _HTML = f"replace({_HTML}, {_q(_a)}, {_q(_b)})"
 
+_NORMALIZED = f"""{_TOKENS}, {_PARENS}, ntok as materialized (select doc_id, row_number() over (partition by doc_id order by pos) - 1 as pos, text from marked where keep),
+{_CPP_SYM.replace("from tok t", "from ntok t")}, {_GRAMS}, {_PICKS}, {_PROFILE.replace("from tok group", "from ntok group")}"""
+_PARSED = f"{_NORMALIZED} select p.*, coalesce(c.n, 0) as parens_collapsed from prof p left join (select doc_id, count(*) filter (collapsed) as n from marked group by 1) c using (doc_id)"
+
 ORACLES = {
     "lex_tokens": f"{_TOKENS} select * from tok",
     "lex_token_histogram": f"{_TOKENS} select text, count(*) as n from tok group by 1",
@@ -271,9 +320,9 @@ ORACLES = {
     "kgram_hashes": f"{_TOKENS}, {_CPP_SYM}, {_GRAMS} select * from grams",
     "winnow_picks": f"{_CPP_ALL} select * from picks",
     "fingerprint_sets": f"{_CPP_ALL} select * from prints",
-    "parsed_sources": f"""{_TOKENS}, {_PARENS}, ntok as materialized (select doc_id, row_number() over (partition by doc_id order by pos) - 1 as pos, text from marked where keep),
-{_CPP_SYM.replace("from tok t", "from ntok t")}, {_GRAMS}, {_PICKS}, {_PROFILE.replace("from tok group", "from ntok group")}
-select p.*, coalesce(c.n, 0) as parens_collapsed from prof p left join (select doc_id, count(*) filter (collapsed) as n from marked group by 1) c using (doc_id)""",
+    "parsed_sources": _PARSED,
+    "parsed_code": _PARSED.replace(_CORPUS, _CODE_CORPUS),
+    "code_matches": f"{_NORMALIZED.replace(_CORPUS, _CODE_CORPUS)}, {_SHARED} select * from scored order by similarity desc, lhs, rhs limit 50",
     "doc_profile": f"{_ALL}, {_PROFILE} select * from prof",
     "inverted_index": f"{_ALL} select hash, count(*) as n_docs, min(doc_id) as first_doc from prints group by 1",
     "candidate_pairs": f"{_PAIRS} select * from shared_ where shared >= 2",
@@ -305,6 +354,10 @@ select a.id as doc_id, b.id as other, coalesce(case when a.id = b.id then 100.0
     "text_functions": f"""select page_id, regexp_replace(h, '^[ \\t\\r\\n]+|[ \\t\\r\\n]+\\z', '', 'g') as trimmed, translate(h, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as lowered, {_HTML} as html,
 case when regexp_matches(h, '[,"\\n\\r]') then '"' || replace(h, '"', '""') || '"' else h end as csv, {_JSON} as json,
 case when strlen(l) > 80 then substr(l, 1, cut) || '...' else l end as line from (select *, list_max(list_filter(range(1, 78), lambda n: strlen(substr(l, 1, n)) <= 77)) as cut from (select page_id, h, regexp_replace(h, '[ \\n\\r\\t]+', ' ', 'g') as l from (select page_id, html as h from pages)))""",
+    "lex_code": f"{_TOKENS.replace(_CORPUS, _CODE_CORPUS)} select * from tok",
+    "lex_code_python": _other("python", _CODE_CORPUS),
+    "lex_code_java": _other("java", _CODE_CORPUS),
+    "lex_code_javascript": _other("javascript", _CODE_CORPUS),
     "lex_python": _other("python"),
     "lex_java": _other("java"),
     "lex_javascript": _other("javascript", "corpus as (select page_id as doc_id, html as body from pages)"),
