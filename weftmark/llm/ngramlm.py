@@ -26,11 +26,11 @@ from pyspark.sql.pandas.types import to_arrow_type
 from weftmark.llm.textbytes import Words, cut, mix, pieces, written
 
 #: Tokens that a shard compares at each level; what agrees on more is compared on the next one. The last holds from there on.
-WINDOW = (3, 4, 8, 16, 64, 512, 4096)
+WINDOW = (4, 4, 8, 16, 64, 512, 4096)
 #: Weight of the word's share in the corpus against one occurrence of its context.
 ALPHA = 0.75
 #: Tokens that are shipped to a shard in windows, about; and words that a mapper gathers to a block before it ships them.
-SHARD, GATHER = 4_000_000, 1_000_000
+SHARD, GATHER = 3_500_000, 1_000_000
 #: A suffix that more than this part of a shard, and of the corpus, ends with isn't sent to one shard; longer ones are.
 HOT_SHARD, HOT_CORPUS = 1 / 4, 1 / (1 << 20)
 #: The most frequent words are shipped as 20-bit ranks; others by the 48 bits of their hash that tell words apart.
@@ -58,7 +58,7 @@ def _word_counts(docs: DataFrame) -> DataFrame:
                 h = Words(raw, offsets).hash & NAME
                 held.append(h)
                 size += len(h)
-                if size >= GATHER:
+                if size >= 4 * GATHER:
                     yield flush()
                     size = 0
         if held:
@@ -213,7 +213,21 @@ def _keys(tokens: np.ndarray, have: np.ndarray, hot: Hot, salt: int) -> tuple[np
     return gram, size
 
 
-def matches(flat: np.ndarray, offset: np.ndarray, length: np.ndarray, size: np.ndarray, window: int, hot: Hot) -> tuple[np.ndarray, ...]:
+def _key_lengths(flat: np.ndarray, offset: np.ndarray, length: np.ndarray, hot: Hot) -> np.ndarray:
+    """The lengths that ``_keys`` gives, from the windows."""
+    size = np.ones(len(offset), np.int64)
+    with np.errstate(over="ignore"):
+        gram = mix(flat[offset] + np.uint64(1))
+        left = np.arange(len(offset))
+        for n, (hashes, _) in enumerate(hot, 1):
+            left = left[_same(hashes, gram[left])[0]]
+            size[left] = n + 1
+            left = left[length[left] > n]
+            gram[left] = _grow(gram[left], flat[offset[left] + n])
+    return size
+
+
+def matches(flat: np.ndarray, offset: np.ndarray, length: np.ndarray, window: int, hot: Hot) -> tuple[np.ndarray, ...]:
     """(r, c, linked, alike, name) of the positions of a shard.
 
     Position i ends with flat[offset[i]], has flat[offset[i] + 1] before that, and
@@ -227,6 +241,7 @@ def matches(flat: np.ndarray, offset: np.ndarray, length: np.ndarray, size: np.n
     within all shards; 0 for r below the window.
     """
     n = len(offset)
+    size = _key_lengths(flat, offset, length, hot)
     with np.errstate(over="ignore"):
         r, c, alike, name = (np.zeros(n, np.int64) for _ in range(4))
         for m in range(2, len(hot) + 2):
@@ -263,7 +278,7 @@ def matches(flat: np.ndarray, offset: np.ndarray, length: np.ndarray, size: np.n
     return r, c, linked, alike, name
 
 
-_SHIPPED = "shard bigint, block bigint, ids array<{kind}>, sizes binary, pos binary, size binary, length binary, code binary, bits binary, rare binary"
+_SHIPPED = "shard bigint, block bigint, ids array<{kind}>, sizes binary, pos binary, length binary, code binary, bits binary, rare binary"
 _FOUND = "shard bigint, block bigint, ids array<{kind}>, sizes binary, pos binary, r binary, c binary, linked binary, alike binary, name binary"
 _STATE = "block bigint, ids array<{kind}>, a binary, b binary, sizes binary, run_doc binary, run_next binary, run_units binary, unit_size binary, unit binary, weights binary, n_next bigint, n_ship bigint"
 
@@ -273,7 +288,7 @@ def _ship(block: int, ids, bounds: np.ndarray, tokens: np.ndarray, window: int,
     n = len(tokens)
     sizes = np.diff(bounds)
     have = np.arange(n) - np.repeat(bounds[:-1], sizes) + 1
-    key, size = _keys(tokens, have, hot, block)
+    key, _ = _keys(tokens, have, hot, block)
     length = np.minimum(have, window + 1)
     shard = (key % np.uint64(shards)).astype(np.int64)
     order = np.argsort(shard, kind="stable")
@@ -281,15 +296,14 @@ def _ship(block: int, ids, bounds: np.ndarray, tokens: np.ndarray, window: int,
     cuts = np.append(begin, n)
     some, spot = _same(ranks, tokens)
     code = np.where(some, rank_of[spot], RANKED).astype(np.uint32) if len(ranks) else np.full(n, RANKED, np.uint32)
-    rows: dict[str, list] = {k: [] for k in ("shard", "pos", "size", "length", "code", "bits", "rare")}
+    rows: dict[str, list] = {k: [] for k in ("shard", "pos", "length", "code", "bits", "rare")}
     for s, a, b in zip(present.tolist(), cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
         at, size_ = order[a:b], length[order[a:b]]
         upto = np.cumsum(size_)
         index = np.repeat(at + upto - size_, size_) - np.arange(upto[-1])
         coded, bits = _code(code[index])
         rows["shard"].append(s)
-        rows["pos"].append(_small(np.diff(at, prepend=0)))
-        rows["size"].append(_small(size[at]))
+        rows["pos"].append(_counts(np.diff(at, prepend=0)))
         rows["length"].append(_small(size_))
         rows["code"].append(_pack(coded))
         rows["bits"].append(_pack(bits))
@@ -305,13 +319,13 @@ def _ship(block: int, ids, bounds: np.ndarray, tokens: np.ndarray, window: int,
     )
 
 
-def _search(table: pa.Table, window: int, hot: Hot, low: np.ndarray, counts: np.ndarray) -> pa.Table:
-    """The positions of one shard; rows of documents pass."""
+def _search(table: pa.Table, window: int, hot: Hot, low: np.ndarray, counts: np.ndarray, words: bool) -> pa.Table:
+    """The positions of one shard; rows of documents pass. Of words, alike is told, and so c of a suffix of one word: one less."""
     names = ["shard", "block", "ids", "sizes", "pos", "r", "c", "linked", "alike", "name"]
     if table.column("pos")[0].as_py() is None:
         none = pa.nulls(table.num_rows, pa.binary())
         return pa.table([table.column(c) for c in ("shard", "block", "ids", "sizes")] + [none] * 6, names=names)
-    rows = table.select(["pos", "size", "length", "code", "bits", "rare"]).to_pylist()
+    rows = table.select(["length", "code", "bits", "rare"]).to_pylist()
     flat, own = [], []
     for x in rows:
         code = _decode(_unpack(x["code"], np.uint8), _unpack(x["bits"], np.uint8))
@@ -322,22 +336,21 @@ def _search(table: pa.Table, window: int, hot: Hot, low: np.ndarray, counts: np.
             w[rare] = (w[rare] if k else np.uint64(0)) | part.astype(np.uint64) << np.uint64(16 * k)
         flat.append(w)
         own.append(code)
-    length = np.concatenate([_numbers(x["length"]) for x in rows])
-    size = np.concatenate([_numbers(x["size"]) for x in rows])
+    lengths = [_numbers(x["length"]) for x in rows]
+    length = np.concatenate(lengths)
     offset = np.cumsum(length) - length
-    r, c, linked, alike, name = matches(np.concatenate(flat), offset, length, size, window, hot)
+    r, c, linked, alike, name = matches(np.concatenate(flat), offset, length, window, hot)
     code = np.concatenate(own)[offset]
     if len(counts):
         alike = np.where(code == RANKED, alike, counts[np.minimum(code, len(counts) - 1)])
     out: list[list] = [[], [], [], [], []]
     at = 0
-    for x in rows:
-        n = len(_numbers(x["size"]))
+    for n in map(len, lengths):
         mine = slice(at, at + n)
         out[0].append(_small(r[mine]))
-        out[1].append(_counts(c[mine][r[mine] > 1]))  # a suffix of one word: c is alike less one
+        out[1].append(_counts(c[mine][r[mine] > words]))
         out[2].append(_pack(np.packbits(linked[mine])))
-        out[3].append(_small(alike[mine]))
+        out[3].append(_small(alike[mine][: n * words]))
         out[4].append(_small(name[mine][r[mine] == window]))
         at += n
     return pa.table([*[table.column(c) for c in ("shard", "block", "ids", "sizes", "pos")], *[pa.array(x, pa.binary()) for x in out]], names=names)
@@ -365,10 +378,12 @@ def _settle(table: pa.Table, window: int, deeper: int, last: bool, total: int, a
     r, c, alike = np.full(n, -1), np.zeros(n, np.int64), np.zeros(n, np.int64)
     linked, name = np.zeros(n, bool), np.zeros(n, np.uint64)
     for x in found:
-        pos = np.cumsum(_numbers(x["pos"]))
-        r[pos], alike[pos] = _numbers(x["r"]), _numbers(x["alike"])
-        c[pos] = np.where(r[pos] == 1, alike[pos] - 1, 0)
-        c[pos[r[pos] > 1]] = _counted(x["c"])
+        pos = np.cumsum(_counted(x["pos"]))
+        r[pos] = _numbers(x["r"])
+        if last:
+            alike[pos] = _numbers(x["alike"])
+            c[pos] = np.where(r[pos] == 1, alike[pos] - 1, 0)
+        c[pos[r[pos] > last]] = _counted(x["c"])
         linked[pos] = np.unpackbits(_unpack(x["linked"], np.uint8), count=len(pos))
         number = _numbers(x["name"])
         name[pos[r[pos] == window]] = np.where(number < HOT_NAME, number + ((x["shard"] + 1) << 32), number)  # not hashed: these pack well
@@ -521,7 +536,7 @@ def _settled(rows: DataFrame, read, level: int, tokens: int, shipped: int, shard
 
     def search(table: pa.Table) -> pa.Table:
         hot, low, counts, *_ = shared.value
-        return _search(table, window, hot, low, counts)
+        return _search(table, window, hot, low, counts, level == 0)
 
     found = rows.mapInArrow(ship, _SHIPPED.format(kind=kind)).groupBy("shard").applyInArrow(search, _FOUND.format(kind=kind))
     return found.groupBy("block").applyInArrow(lambda t: _settle(t, window, deeper, level == 0, total, alpha, list_type), _STATE.format(kind=kind))

@@ -191,7 +191,7 @@ def release(spark: SparkSession) -> None:
     for _ in range(2):
         gc.collect()
         spark._jvm.System.gc()
-        time.sleep(0.2)
+        time.sleep(0.7)
 
 
 @contextmanager
