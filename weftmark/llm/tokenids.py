@@ -271,8 +271,9 @@ def token_ids(docs: DataFrame, tokenizer: str | None = None, block: int = BLOCK,
     decode any block alone (``decode_document`` decodes a row).
 
     Null and empty texts give 0 tokens, no words and no blocks. Rows, repeated
-    ones too, correspond one to one; null keys are kept; other columns are left
-    out, whatever their names.
+    ones too, correspond one to one; null keys are kept, of any type; other
+    columns are left out, whatever their names. Texts of any length are coded
+    whole; an empty table gives no rows.
     """
     path = tokenizer or default_tokenizer()
     rows = docs.select(F.col(key).alias("_key"), F.col(text).alias("_text"))
