@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from weftmark.llm.textbytes import mix, pieces
+from weftmark.operators.lexing import spread
 
 #: A cut needs the bits MASK of the gear hash to be zero. They depend on the last WINDOW bytes only.
 MASK, WINDOW = np.uint16(0xF800), 16
@@ -78,7 +79,7 @@ def chunks(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataF
                 )
 
     kind = rows.schema["_key"].dataType.simpleString()
-    return rows.mapInArrow(run, f"_key {kind}, _h int, start int, end int, d1 bigint, d2 bigint")
+    return spread(rows).mapInArrow(run, f"_key {kind}, _h int, start int, end int, d1 bigint, d2 bigint")
 
 
 def _shared(a: bytes, b: bytes) -> int:

@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
 from weftmark.llm.textbytes import Words, buffer, ngrams, pieces
+from weftmark.operators.lexing import spread
 
 #: A match of this many tokens is removed whatever surrounds it.
 MAX_TOKENS = 10
@@ -367,7 +368,7 @@ def contamination(docs: DataFrame, items: DataFrame, max_tokens: int = MAX_TOKEN
                 names=["_key", "item_ids", "spans", "n_tokens", "removed_tokens", "clean_text"],
             )
 
-    return rows.mapInArrow(run, schema).withColumnRenamed("_key", doc_id)
+    return spread(rows).mapInArrow(run, schema).withColumnRenamed("_key", doc_id)
 
 
 def decontaminate(docs: DataFrame, items: DataFrame, max_tokens: int = MAX_TOKENS, min_tokens: int = MIN_TOKENS, coverage: float = COVERAGE, text: str = "text", length: str | None = "n_chars", item_id: str = "item_id", item_text: str = "text", automaton_bytes: int = AUTOMATON_BYTES) -> DataFrame:
@@ -403,4 +404,4 @@ def decontaminate(docs: DataFrame, items: DataFrame, max_tokens: int = MAX_TOKEN
             yield clean(batch, got)
 
     plain = docs.toDF(*[f"c{i}" for i in range(len(docs.columns))])
-    return plain.mapInArrow(run, plain.schema).toDF(*docs.columns)
+    return spread(plain).mapInArrow(run, plain.schema).toDF(*docs.columns)

@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from weftmark.llm.textbytes import pieces
+from weftmark.operators.lexing import spread
 
 #: Labelled documents that each language's model is trained on at most; those of the smallest id hashes are taken.
 MAX_PER_LANGUAGE = 150
@@ -197,4 +198,4 @@ def identify(docs: DataFrame, model: Model, doc_id: str = "doc_id", text: str =
                     names=["_key", "language", "bits", "margin", "n_bytes", "code_lengths"],
                 )
 
-    return rows.mapInArrow(run, f"_key {kind}, language string, bits double, margin double, n_bytes bigint, code_lengths map<string,double>").withColumnRenamed("_key", doc_id)
+    return spread(rows).mapInArrow(run, f"_key {kind}, language string, bits double, margin double, n_bytes bigint, code_lengths map<string,double>").withColumnRenamed("_key", doc_id)

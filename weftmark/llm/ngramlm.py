@@ -24,6 +24,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
 from weftmark.llm.textbytes import Words, cut, mix, pieces, written
+from weftmark.operators.lexing import spread
 
 #: Tokens that a shard compares at each level; what agrees on more is compared on the next one. The last holds from there on.
 WINDOW = (4, 4, 8, 16, 64, 512, 4096)
@@ -609,11 +610,11 @@ def scores(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", alpha: f
     """
     kind = docs.schema[doc_id].dataType.simpleString()
     list_type = pa.list_(to_arrow_type(docs.schema[doc_id].dataType))
-    rows = docs.where(F.col(doc_id).isNotNull()).select(F.col(doc_id).alias("_id"), F.col(text).alias("_text"))
+    rows = spread(docs.where(F.col(doc_id).isNotNull()).select(F.col(doc_id).alias("_id"), F.col(text).alias("_text")))
     with written(_word_counts(rows)) as counts:
         total, _, ranked, n_ranked = _ranked(counts)
     window = WINDOW[0]
-    with written(_settled(rows, _documents, 0, total, total * (window + 1), shard, max(total, 1), alpha, kind, list_type, (ranked, n_ranked))) as mine, _deeper(mine, 1, shard, kind, list_type) as found:
+    with written(_settled(rows, _documents, 0, total, total * (window + 1), shard, max(total, 1), alpha, kind, list_type, (ranked, n_ranked)), free=True) as mine, _deeper(mine, 1, shard, kind, list_type) as found:
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for x in _rows(batches):

@@ -20,6 +20,8 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 
+from weftmark.operators.lexing import spread
+
 #: Bytes of text handled at a time, so that the numpy temporaries of a worker stay small.
 PIECE = 1 << 18
 
@@ -172,7 +174,7 @@ def map_rows(docs: DataFrame, function: Callable[[pa.RecordBatch], pa.RecordBatc
         for batch in batches:
             yield function(batch)
 
-    out = plain.mapInArrow(run, schema)
+    out = spread(plain).mapInArrow(run, schema)
     return out.toDF(*names, *out.columns[len(names) :])
 
 
@@ -195,19 +197,22 @@ def release(spark: SparkSession) -> None:
 
 
 @contextmanager
-def written(df: DataFrame) -> Iterator[DataFrame]:
+def written(df: DataFrame, free: bool = False) -> Iterator[DataFrame]:
     """``df`` as a Parquet table in the shared folder, which goes at the end of the block.
 
     Later stages read only the columns that they name, and no lineage remains.
-    Shuffle files behind ``df`` are let go before, if nothing else holds it.
+    ``free``: shuffle files that nothing needs any more go before and after the
+    writing; worth its seconds where these are large.
     """
     spark = df.sparkSession
     place = f"{_shared_folder(spark)}/table-{uuid.uuid4().hex}"
-    release(spark)
+    if free:
+        release(spark)
     df.write.parquet(place)
     kept = df.schema
     del df
-    release(spark)
+    if free:
+        release(spark)
     try:
         yield spark.read.schema(kept).parquet(place)
     finally:

@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from weftmark.llm.textbytes import binary_column, pieces, powers
+from weftmark.operators.lexing import spread
 
 #: Selector -> (values in a word, bits of each). 0 and 1 are runs of zeros.
 LAYOUT = ((240, 0), (120, 0), (60, 1), (30, 2), (20, 3), (15, 4), (12, 5), (10, 6), (8, 7), (7, 8), (6, 10), (5, 12), (4, 15), (3, 20), (2, 30), (1, 60))
@@ -298,4 +299,4 @@ def token_ids(docs: DataFrame, tokenizer: str | None = None, block: int = BLOCK,
                 )
 
     kind = rows.schema["_key"].dataType.simpleString()
-    return rows.mapInArrow(run, f"_key {kind}, n_tokens bigint, words binary, block_offsets array<int>").withColumnRenamed("_key", key)
+    return spread(rows).mapInArrow(run, f"_key {kind}, n_tokens bigint, words binary, block_offsets array<int>").withColumnRenamed("_key", key)

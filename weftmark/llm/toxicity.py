@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from weftmark.llm.textbytes import Words, hash_word, map_rows, pieces
+from weftmark.operators.lexing import spread
 
 #: Labelled documents that the lexicon is learned from at most; those of the smallest id hashes are taken.
 MAX_LABELLED = 4000
@@ -367,7 +368,7 @@ def scores(docs: DataFrame, lexicon: Lexicon = BASE, doc_id: str = "doc_id", tex
             )
 
     kind = rows.schema["_key"].dataType.simpleString()
-    return rows.mapInArrow(run, f"_key {kind}, score double, clauses int").withColumnRenamed("_key", doc_id)
+    return spread(rows).mapInArrow(run, f"_key {kind}, score double, clauses int").withColumnRenamed("_key", doc_id)
 
 
 def reject(docs: DataFrame, lexicon: Lexicon = BASE, threshold: float = THRESHOLD, text: str = "text", lang: str | None = "lang") -> DataFrame:
