@@ -29,7 +29,7 @@ THREAT = "kill murder strangle slaughter exterminate stab hang umbringen töten
 #: Verbs that threaten only with a particle after the person: beat you up.
 PHRASAL = "beat hunt burn cut tear put mow".split()
 PARTICLE = "up down apart out".split()
-TARGET = "you you're youre yourself yourselves he she they them him himself herself themselves du dich dir ihr euch sie ihn ihm vous toi te il elle ils elles tú te usted ustedes vosotros ellos ella lo la".split()
+TARGET = "you you're youre yourself yourselves he she they them him himself herself themselves du dich dir ihr euch sie ihn ihm vous toi te il elle ils elles tú te usted ustedes vosotros ellos ella".split()
 POSSESSIVE = "your his her their dein deine deinen seine votre vos ton ta tes tu tus su sus".split()
 PASSIVE = "be been being get gets werden wird être sera ser será".split()
 #: Words end at an apostrophe, so "isn't" is known by "isn".
