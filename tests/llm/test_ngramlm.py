@@ -1,5 +1,6 @@
 import random
 
+import numpy as np
 import pytest
 
 from tests.llm import brute
@@ -35,3 +36,12 @@ def test_string_ids_and_clashing_columns(spark):
     docs = spark.createDataFrame([("a", "x y z", 1), ("b", "x y z", 2), (None, "x", 3)], "doc_id string, text string, block int")
     got = {r.doc_id: r for r in ngramlm.scores(docs).collect()}
     assert set(got) == {"a", "b"} and got["a"].bits == got["b"].bits and got["a"].mean_context == 1.0
+
+
+def test_groups_of_keys():
+    """Keys that differ in their lowest bits only are told apart."""
+    r = np.random.default_rng(4)
+    for keys in (r.integers(0, 9, 300), r.integers(0, 1 << 62, 300), np.append(r.integers(0, 1 << 62, 9), [7, 6, 7]), np.zeros(0, np.int64), np.ones(1, np.int64)):
+        _, want, sizes = np.unique(keys, return_inverse=True, return_counts=True)
+        group, got = ngramlm._groups(keys.astype(np.uint64))
+        assert group.tolist() == want.tolist() and got.tolist() == sizes.tolist()

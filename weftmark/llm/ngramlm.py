@@ -145,11 +145,23 @@ def _decode(code: np.ndarray, packed: np.ndarray) -> np.ndarray:
 
 
 def _groups(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(number of each key's group in the order of keys, sizes of groups)."""
-    order = np.argsort(keys)
+    """(number of each key's group in the order of keys, sizes of groups).
+
+    Upper bits with a place in the lower ones sort faster than places by keys; if
+    two keys differ in the lower bits only, places are sorted.
+    """
+    low = np.uint64((1 << len(keys).bit_length()) - 1)
+    packed = (keys & ~low) | np.arange(len(keys), dtype=np.uint64)
+    packed.sort()
+    order = (packed & low).astype(np.int64)
     ordered = keys[order]
     new = np.ones(len(keys), bool)
     new[1:] = ordered[1:] != ordered[:-1]
+    upper = packed >> np.uint64(len(keys).bit_length())
+    if (new[1:] & (upper[1:] == upper[:-1])).any():
+        order = np.argsort(keys)
+        ordered = keys[order]
+        new[1:] = ordered[1:] != ordered[:-1]
     group = np.empty(len(keys), np.int64)
     group[order] = np.cumsum(new) - 1
     return group, np.diff(np.append(np.flatnonzero(new), len(keys)))
