@@ -23,9 +23,9 @@ def matched_fragments(pairs: DataFrame, parsed: DataFrame, k: int, per_hash: int
 
 
 def documents_of(pairs: DataFrame, docs: DataFrame, key: str = "doc_id") -> DataFrame:
-    """The documents that are in a pair."""
+    """The documents that are in one of a few pairs, whose ids go to all tasks, so that no text is shuffled."""
     ids = pairs.select(F.explode(F.array("lhs", "rhs")).alias("_in")).distinct()
-    return docs.join(ids, F.col(key) == F.col("_in"), "left_semi")
+    return docs.join(F.broadcast(ids), F.col(key) == F.col("_in"), "left_semi")
 
 
 def with_text(fragments: DataFrame, docs: DataFrame, key: str = "doc_id", source: str = "text") -> DataFrame:
